@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorframe.llm import exact_dedup
+from vectorframe.llm import bpe, exact_dedup, mixing, quality, simhash
+from vectorframe.llm.queries import RANKS
 from vectorframe.llm.shared import settle, shared_dir
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (operator 6), fitted on the labelled ones among them."""
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text (operator 7)."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates (operator 4)."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the target weights (operator 10)."""
+    return mixing.sample(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again as a check (operator 2)."""
+    return bpe.encode_documents(docs, RANKS)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing to target weights", mixed),
+    ("BPE encoding", tokens),
+]
 
 #: The classifier, the near duplicates and the encoder aren't SQL; tests hold them against brute force.
 ORACLE_SQL = None
