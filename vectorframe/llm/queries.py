@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorframe.llm import bpe, exact_dedup, mixing, quality, simhash
+from vectorframe.llm import bpe, exact_dedup, lm, mixing, quality, simhash, token_counts
 
 #: Rank file that the queries encode with; the operators take any.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), RANKS)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return lm.score(docs, lm.train(docs))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -33,15 +38,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, labels))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), RANKS)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
