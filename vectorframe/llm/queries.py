@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorframe.llm import bpe, exact_dedup, lm, mixing, quality, simhash, token_counts
+from vectorframe.llm import bpe, exact_dedup, langid, lm, mixing, quality, simhash, token_counts
 
 #: Rank file that the queries encode with; the operators take any.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -33,6 +33,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs, quality.train(docs, labels))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
