@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorframe.llm import bpe, exact_dedup, langid, lm, mixing, quality, simhash, token_counts
+from vectorframe.llm import bpe, exact_dedup, langid, lm, mixing, quality, secret_scan, simhash, token_counts
 
 #: Rank file that the queries encode with; the operators take any.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -43,6 +43,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, labels))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), RANKS)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
