@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vectorframe.llm import bpe, exact_dedup, langid, lm, mixing, quality, secret_scan, simhash, token_counts
+from vectorframe.llm import bpe, exact_dedup, langid, lm, media, mixing, quality, secret_scan, simhash, token_counts
 
 #: Rank file that the queries encode with; the operators take any.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,6 +21,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so every document's whole text is made one, in five formats."""
+    docs = _documents(spark, sf_dir)
+    return media.media_tiles(docs.select("doc_id", media.text_as_image(F.col("text"), F.col("doc_id")).alias("media")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), RANKS)
 
@@ -56,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
