@@ -7,13 +7,16 @@ bytes, since short words are common to all texts of a language.
 Candidates. The bits are split into disjoint blocks, in several ways (``splits`` fixed
 permutations). Two fingerprints that differ in fewer bits than a split has blocks agree on
 some block of it; for larger distances the number of blocks is chosen so that a pair at
-``design_rate`` differing bits shares one with probability 1 - ``miss``. Blocks get wider
-with the logarithm of the corpus, so that chance collisions stay in proportion to it, and
-their number follows; no bucket and no list of partners is capped. Texts with the same
-fingerprint are one node from the start, so copies never meet in a bucket.
+``design_rate`` differing bits shares one with probability 1 - ``miss``. Blocks get a bit
+wider for every fourfold corpus and their number follows slowly; no bucket and no list of
+partners is capped. Texts with the same fingerprint are one node from the start, so copies
+never meet in a bucket.
 
-Verification. Pairs from a bucket are first compared on a 64-bit part that travels with the
-block, then on all bits: at most ``max_distance`` may differ.
+Verification. Fingerprints travel with their blocks and are compared where they meet: at most
+``max_distance`` bits may differ. A small bucket yields all its verified pairs; in a larger
+one, each fingerprint reached is compared with all not yet reached, so every verified pair
+counts but only the edges of a spanning forest leave the task, which keeps large families
+linear in what is shuffled.
 
 Groups are the connected components of the verified pairs; the row with the smallest id
 (nulls last) stays.
@@ -41,7 +44,7 @@ BITS = 256
 #: Differing bits of 256 that still make a near duplicate.
 MAX_DISTANCE = 48
 #: Share of differing bits that the blocks are designed for, and the share of such pairs missed.
-DESIGN_RATE, MISS = 0.11, 0.02
+DESIGN_RATE, MISS = 0.11, 0.01
 #: Features voted on at once.
 _CHUNK = 1 << 15
 
@@ -88,13 +91,15 @@ def fingerprint(text: pa.Array) -> pa.Array:
 
 def plan_blocks(n: int, design_rate: float = DESIGN_RATE, miss: float = MISS) -> list[list[int]]:
     """Bit positions of each block for a corpus of ``n`` fingerprints."""
-    width = min(32, max(14, math.ceil(math.log2(max(n, 2))) - 2))
-    share = (1 - design_rate) ** width
+    width = min(32, max(12, math.ceil(math.log2(max(n, 2)) / 2) + 7))
     per_split = BITS // width
-    blocks = max(per_split, math.ceil(math.log(miss) / math.log1p(-share)))
-    splits = math.ceil(blocks / per_split)
+    blocks = max(per_split, math.ceil(math.log(miss) / math.log1p(-((1 - design_rate) ** width))))
     rng = np.random.default_rng(20240229)
-    return [[int(b) for b in p[i * width : (i + 1) * width]] for p in (rng.permutation(BITS) for _ in range(splits)) for i in range(per_split)]
+    ways = [rng.permutation(BITS) for _ in range(math.ceil(blocks / per_split))]
+    return [[int(b) for b in p[i * width : (i + 1) * width]] for p in ways for i in range(per_split)][:blocks]
+
+
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
 
 
 def _block_rows(blocks: list[list[int]]):
@@ -105,42 +110,86 @@ def _block_rows(blocks: list[list[int]]):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                raw = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, 32)
-                bits = np.unpackbits(raw, axis=1)
-                keys = bits[:, places].astype(np.int64) @ powers + (np.arange(len(blocks), dtype=np.int64) << 33)
-                lane = raw[:, :8].copy().view(np.int64)[:, 0]
-                ids = part.column("node").to_numpy()
-                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(ids, len(blocks))), pa.array(np.repeat(lane, len(blocks)))], ["key", "node", "lane"])
+                raw = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+                keys = np.unpackbits(raw, axis=1)[:, places].astype(np.int64) @ powers + (np.arange(len(blocks), dtype=np.int64) << 33)
+                words = raw.copy().view(np.int64)
+                columns = [keys.ravel(), np.repeat(part.column("node").to_numpy(), len(blocks)), *(np.repeat(w, len(blocks)) for w in words.T)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["key", "node", *_WORDS])
 
     return rows
 
 
-def hamming(a: str, b: str, words: int = BITS // 64):
-    """Differing bits of two array<long> fingerprints."""
-    out = F.lit(0)
-    for i in range(words):
-        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-    return out
-
-
-def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE, n: int | None = None) -> DataFrame:
-    """(a, b), a < b, of the nodes (node bigint, fp binary; both unique) at most ``max_distance`` apart."""
-    blocks = plan_blocks(nodes.count() if n is None else n)
-    rows = nodes.mapInArrow(_block_rows(blocks), "key long, node long, lane long")
-    # 64 of the bits: their distance is near a quarter of the whole; four deviations are left for chance
-    share = max_distance / BITS
-    most = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    left = rows.select("key", F.col("node").alias("a"), F.col("lane").alias("lane_a"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("lane").alias("lane_b"))
-    met = left.hint("merge").join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("lane_a").bitwiseXOR(F.col("lane_b"))) <= most))
-    words = [F.conv(F.hex(F.substring("fp", 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
-    full = nodes.select("node", F.array(*words).alias("words"))
-    return (
-        met.select("a", "b").distinct()
-        .join(full.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-        .join(full.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-        .where(hamming("words_a", "words_b") <= max_distance).select("a", "b")
-    )
+#: Buckets up to this size yield all their verified pairs.
+_SMALL_BUCKET = 24
+
+
+def _bucket_edges(max_distance: int):
+    """Rows sorted by key -> edges (a, b), a < b, of verified pairs; see the module."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= max_distance
+
+    def forest(node: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, left = [], np.arange(len(node))
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                hit = near(fp[left], fp[at])
+                if hit.any():
+                    out.append((np.full(int(hit.sum()), node[at]), node[left[hit]]))
+                    queue += left[hit].tolist()
+                    left = left[~hit]
+        return out
+
+    def edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        sizes = np.diff(np.append(starts, len(key)))
+        found = []
+        for s, n in zip(starts[sizes > _SMALL_BUCKET].tolist(), sizes[sizes > _SMALL_BUCKET].tolist()):
+            found += forest(node[s : s + n], fp[s : s + n])
+        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _SMALL_BUCKET), sizes))
+        key, node, fp = key[small], node[small], fp[small]
+        for d in range(1, _SMALL_BUCKET):
+            at = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.zeros(0, np.int64)
+            if not len(at):
+                break
+            at = at[near(fp[at], fp[at + d])]
+            found.append((node[at], node[at + d]))
+        if found:
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.stack([batch.column(c).to_numpy() for c in ("key", "node", *_WORDS)], axis=1)
+            if held and now[-1, 0] == held[0][0, 0]:  # one bucket goes on
+                held.append(now)
+                continue
+            now = np.concatenate([*held, now])
+            cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last bucket may go on
+            held = [now[cut:]]
+            if cut:
+                yield from edges(now[:cut, 0], now[:cut, 1], now[:cut, 2:])
+        if held:
+            last = np.concatenate(held)
+            yield from edges(last[:, 0], last[:, 1], last[:, 2:])
+
+    return run
+
+
+def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Edges (a, b), a < b, between nodes (node bigint, fp binary; both unique) at most
+    ``max_distance`` apart, which connect all that verified pairs of any bucket connect."""
+    blocks = plan_blocks(nodes.count())
+    longs = ", ".join(f"{w} long" for w in _WORDS)
+    rows = nodes.select("node", "fp").mapInArrow(_block_rows(blocks), f"key long, node long, {longs}")
+    met = rows.repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(_bucket_edges(max_distance), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
