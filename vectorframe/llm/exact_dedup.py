@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorframe.llm.shared import fresh, read_bytes, shared_dir, write_bytes
+from vectorframe.llm.shared import fresh, pieces, read_bytes, shared_dir, write_bytes
 
 #: Keys in a bucket before it splits.
 BUCKET_CAPACITY = 512
-#: Text bytes that a task folds before it passes its groups on.
-FOLD_BYTES = 48 << 20
+#: Text bytes that are folded, or compared, at once in a task.
+FOLD_BYTES = 4 << 20
 
 
 class ExtendibleHash:
@@ -194,51 +194,42 @@ def on_chain(uri: str, bits: int):
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, text, row) -> one row for each distinct text: (h, doc_id, ids, text, row)
-    with the smallest id first and the row that has it."""
-    schema, groups, size = None, {}, 0
-
-    def flush():
-        rows = [(h, *v[:2], text, v[2]) for (h, text), v in groups.items()]
-        return pa.record_batch([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.string()),
-            pa.array([r[4] for r in rows], schema.field("row").type),
-        ], ["h", "doc_id", "ids", "text", "row"])
-
-    for b in batches:
-        schema = b.schema
-        for h, i, text, row in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text", "row"))):
-            if (g := groups.get((h, text))) is None:
-                groups[h, text] = [i, [i], row]
-                size += len(text)
-            else:
+    """Rows (h, doc_id, text, row) -> one row for each distinct text of a piece: (h, doc_id, ids,
+    text, row) with the smallest id first and the row that has it."""
+    for batch in batches:
+        for b in pieces(batch, "text", FOLD_BYTES):
+            groups: dict[tuple[int, str], list] = {}
+            for n, (h, i, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text")))):
+                if (g := groups.get((h, text))) is None:
+                    groups[h, text] = [i, [i], n]
+                    continue
                 g[1].append(i)
                 if i is not None and (g[0] is None or i < g[0]):
-                    g[0], g[2] = i, row
-        if size > FOLD_BYTES:
-            yield flush()
-            groups, size = {}, 0
-    if groups:
-        yield flush()
+                    g[0], g[2] = i, n
+            at = pa.array([g[2] for g in groups.values()], pa.int64())
+            ids = pa.array([g[1] for g in groups.values()], pa.list_(pa.int64()))
+            columns = {c: b.column(c).take(at) for c in ("h", "doc_id", "text", "row")}
+            del groups
+            yield pa.record_batch([columns["h"], columns["doc_id"], ids, columns["text"], columns["row"]], ["h", "doc_id", "ids", "text", "row"])
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
-    """Rows of an owner, by key and smallest id: for each batch ids, what they duplicate, and the
-    positions and ids of first copies."""
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+    """Rows of an owner, by key and smallest id: pieces with ids, what they duplicate, and the
+    positions of first copies."""
     key, texts = None, {}
-    for b in batches:
-        ids, of, first, first_id = [], [], [], []
-        for n, (h, i, more, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "ids", "text")))):
-            if h != key:
-                key, texts = h, {}
-            if text not in texts:  # equal keys chain; bytes decide
-                texts[text] = i
-                first.append(n)
-                more.remove(i)
-            ids += more
-            of += [texts[text]] * len(more)
-        yield b, ids, of, first
+    for batch in batches:
+        for b in pieces(batch, "text", FOLD_BYTES):
+            ids, of, first = [], [], []
+            for n, (h, i, more, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "ids", "text")))):
+                if h != key:
+                    key, texts = h, {}
+                if text not in texts:  # equal keys chain; bytes decide
+                    texts[text] = i
+                    first.append(n)
+                    more.remove(i)
+                ids += more
+                of += [texts[text]] * len(more)
+            yield b, ids, of, first
 
 
 def _resolve_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +239,8 @@ def _resolve_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _resolve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, _, _, first in _chains(batches):
-        yield pa.record_batch([b.column("row").take(pa.array(first, pa.int64()))], ["row"])
+        at = pa.array(first, pa.int64())
+        yield pa.record_batch([b.column("text").take(at), b.column("row").take(at)], ["text", "row"])
 
 
 def _owned(docs: DataFrame, h: str, id_column: str, text: str, row: Column, bits: int) -> DataFrame:
@@ -278,7 +270,9 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each text; rows with unique or null texts aren't shuffled."""
     probed, h, chain, bits = _probed(docs, text)
-    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c != text]
+    rows = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
     owned = _owned(probed.where(F.col(chain)), h, id_column, text, rows, bits)
-    kept = owned.mapInArrow(_resolve_rows, T.StructType([T.StructField("row", owned.schema["row"].dataType)])).select("row.*")
-    return probed.where(~F.col(chain)).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(kept)
+    kept = owned.mapInArrow(_resolve_rows, T.StructType([T.StructField("text", T.StringType()), owned.schema["row"]]))
+    same = kept.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+    return probed.where(~F.col(chain)).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(same)
