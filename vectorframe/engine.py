@@ -141,8 +141,7 @@ class Engine:
             rows = mutate.first_of_batch(rows, key.name, last=True) if upsert else mutate.new_rows(base, rows, key.name)
         for i in s.table.indices:
             model = self.registry.get(i.model, headers)
-            v = embed.embed_column(model, F.col(i.field), i.dimensions, headers)
-            rows = rows.withColumn(i.name, metrics.normalize_dense(v))
+            rows = rows.withColumn(i.name, embed.embed_column(model, F.col(i.field), i.dimensions, headers))
         # all is written before anything is seen: one commit makes the batch visible
         path, n, next_rid = db.append(s, rows.select(s.table.spark().names))
         gone = 0

@@ -87,13 +87,17 @@ def embed_query(model: Model, text: str, dimensions: int, headers: dict | None =
 
 
 def embed_column(model: Model, text: Column, dimensions: int, headers: dict | None = None, batch: int = 64, wait: float = 1.0) -> Column:
-    """Vectors of a column, in Arrow batches on the executors, three attempts for each."""
+    """Unit vectors of a column, in Arrow batches on the executors, three attempts for each."""
     headers = headers or {}
 
     @F.arrow_udf(T.ArrayType(T.FloatType(), False))
     def embed(column: pa.Array) -> pa.Array:
         texts = [t or "" for t in column.to_pylist()]
         out = [v for i in range(0, len(texts), batch) for v in _attempts(model, texts[i : i + batch], headers, dimensions, 3, wait)]
-        return pa.array(out, pa.list_(pa.float32()))
+        units = []
+        for v in out:
+            n = float(np.square(np.asarray(v, dtype=np.float64)).sum())
+            units.append((np.asarray(v, dtype=np.float64) / np.sqrt(n)).astype(np.float32) if n > 1e-10 else np.asarray(v, dtype=np.float32))
+        return pa.array(units, pa.list_(pa.float32()))
 
     return embed(text)

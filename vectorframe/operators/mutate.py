@@ -119,12 +119,13 @@ def checked(df: DataFrame, table: Table) -> DataFrame:
             continue
         kind, c = f.spark().dataType, F.col(f"`{f.name}`")
         if f.type in DENSE:
-            c = c.cast(kind)
-            keep = keep & F.coalesce(F.size(c) == f.dimensions, F.lit(False))
+            c = c.cast("array<float>")
+            keep = keep & F.coalesce((F.size(c) == f.dimensions) & ~F.exists(c, F.isnull), F.lit(False))
             c = metrics.normalize_dense(c) if f.metric == "COSINE" else c
         elif f.type in SPARSE:
-            c = c.cast(kind)
+            c = c.cast("struct<indices:array<bigint>,values:array<float>>")
             i, v = c["indices"], c["values"]
+            keep = keep & F.coalesce(~F.exists(i, F.isnull) & ~F.exists(v, F.isnull), F.lit(False))
             rises = F.forall(F.sequence(F.lit(1), F.size(i) - 1), lambda k: F.get(i, k) > F.get(i, k - 1))
             keep = keep & F.coalesce((F.size(i) == F.size(v)) & (F.size(i) > 0) & (F.element_at(i, -1) < f.dimensions) & (F.array_min(i) >= 0) & F.when(F.size(i) > 1, rises).otherwise(True), F.lit(False))
             c = metrics.normalize_sparse(c) if f.metric == "COSINE" else c
@@ -195,7 +196,7 @@ def new_key_masks(base: DataFrame, key: str, keys: list, kind: str) -> DataFrame
     """(word, mask) for each 32 keys of the list."""
     listed = base.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], f"place long, __key {kind}")
     there = base.select(F.col(key).alias("__key")).join(F.broadcast(listed.select("__key").distinct()), "__key", "left_semi").distinct().withColumn("__there", F.lit(True))
-    bit = F.when(F.col("__there"), F.lit(0)).otherwise(F.shiftleft(F.lit(1).cast("long"), F.pmod("place", F.lit(32)).cast("int")))
+    bit = F.when(F.col("__there"), F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(32)).cast("int")))
     # places of a last word that the list doesn't reach stay set
     spare = (-len(keys)) % 32
     last = (len(keys) - 1) // 32

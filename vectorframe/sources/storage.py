@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below ``spark.checkpoint.dir``, which the cluster shares. For a local
+    master without that setting, as in tests, a temporary folder is made and set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
