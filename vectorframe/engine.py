@@ -29,9 +29,9 @@ class Config:
     rebuild_threads: int = 1
     min_graph_size: int = 100
     pre_filter: bool = True
-    ann_probes: int = 8
+    ann_probes: int = 0  # cells read by an approximate search; 0 for a share that keeps recall
 
-    _ranges = {"intra_query_threads": (1, 128), "search_queue_size": (500, 10_000_000), "num_executor_per_field": (1, 128), "rebuild_threads": (1, 128), "min_graph_size": (1, 1 << 40), "ann_probes": (1, 4096)}
+    _ranges = {"intra_query_threads": (1, 128), "search_queue_size": (500, 10_000_000), "num_executor_per_field": (1, 128), "rebuild_threads": (1, 128), "min_graph_size": (1, 1 << 40), "ann_probes": (0, 4096)}
     _names = {"IntraQueryThreads": "intra_query_threads", "SearchQueueSize": "search_queue_size", "NumExecutorPerField": "num_executor_per_field", "RebuildThreads": "rebuild_threads", "MinimalGraphSize": "min_graph_size", "PreFilter": "pre_filter", "AnnProbes": "ann_probes"}
 
     def update(self, settings: dict) -> None:
