@@ -20,6 +20,7 @@ empty result. Extra columns pass through untouched, whatever their names.
 from __future__ import annotations
 
 import io
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ from vectorframe.llm.shared import fresh, pieces, read_bytes, shared_dir, write_
 
 #: Keys in a bucket before it splits.
 BUCKET_CAPACITY = 512
+#: Most doublings of an owner's directory; a bucket that is overfull at this depth just grows.
+MAX_DEPTH = 20
+#: Bytes of index pages that a worker keeps.
+PAGE_CACHE_BYTES = 256 << 20
 #: Text bytes that are folded, or compared, at once in a task.
 FOLD_BYTES = 4 << 20
 
@@ -70,7 +75,7 @@ class ExtendibleHash:
         todo = [at]
         while todo:
             at = todo.pop()
-            if len(self.keys[at]) <= self.capacity or self.local[at] + self.skip >= 63:
+            if len(self.keys[at]) <= self.capacity or self.local[at] >= MAX_DEPTH:
                 continue
             if self.local[at] == self.depth:
                 self.directory = np.repeat(self.directory, 2)
@@ -109,6 +114,7 @@ class Pages:
         z = np.load(io.BytesIO(data))
         self.directory, self.starts, self.keys = z["directory"], z["starts"], z["keys"]
         self.skip, self.depth = map(int, z["shape"])
+        self.size = self.directory.nbytes + self.starts.nbytes + self.keys.nbytes
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """Binary search of every key in the page its directory slot points to."""
@@ -126,17 +132,21 @@ class Pages:
         return (low < end) & (self.keys[np.minimum(low, len(self.keys) - 1)] == keys)
 
 
-_opened: dict[str, dict[int, Pages]] = {}
+_opened: dict[str, OrderedDict[int, Pages]] = {}
 
 
 def _pages(uri: str, owner: int) -> Pages:
-    """Pages of one owner, kept for the index in use (chained keys alone, some bytes a duplicate)."""
+    """Pages of one owner (chained keys alone); those used last are kept, up to a bound."""
     if uri not in _opened:
         _opened.clear()
-        _opened[uri] = {}
-    if owner not in _opened[uri]:
-        _opened[uri][owner] = Pages(read_bytes(f"{uri}/owner-{owner:06d}.npz"))
-    return _opened[uri][owner]
+        _opened[uri] = OrderedDict()
+    kept = _opened[uri]
+    if owner not in kept:
+        kept[owner] = Pages(read_bytes(f"{uri}/owner-{owner:06d}.npz"))
+        while len(kept) > 1 and sum(p.size for p in kept.values()) > PAGE_CACHE_BYTES:
+            kept.popitem(last=False)
+    kept.move_to_end(owner)
+    return kept[owner]
 
 
 def _owner_bits(df: DataFrame) -> int:
