@@ -114,7 +114,7 @@ class Model:
 def fit(counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray], smoothing: float = 0.5) -> Model:
     """From n-gram counts and counts of words by script, of each language."""
     languages = sorted(counts)
-    uses = np.array([scripts[x] >= 0.02 * max(scripts[x].sum(), 1) for x in languages]).reshape(len(languages), len(SCRIPT_NAMES)) & np.array([scripts[x] > 0 for x in languages]).reshape(len(languages), len(SCRIPT_NAMES))
+    uses = np.array([(scripts[x] > 0) & (scripts[x] >= 0.02 * scripts[x].sum()) for x in languages], dtype=bool).reshape(len(languages), len(SCRIPT_NAMES))
     free = [s for i, s in enumerate(SCRIPT_NAMES) if not uses[:, i].any()]
     labels = (*languages, *(f"script:{s}" for s in free))
     allowed = np.zeros((len(SCRIPT_NAMES), len(labels)), dtype=bool)

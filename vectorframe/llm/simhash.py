@@ -193,7 +193,7 @@ def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, root) of every node on an edge (a, b); root is the smallest node of its component.
+    """(node, root) of every node on an edge (a, b) but the roots, the smallest nodes of their components.
 
     Alternating large-star and small-star steps, each a shuffle of the edges, until nothing
     changes; the steps are written to the shared folder, not kept in lineage.
