@@ -17,13 +17,16 @@ from vectorframe.operators.facets import facet
 from vectorframe.schema import Field
 from vectorframe.streaming.ingest import changes, ingest
 
-CITIES = [(1, "Berlin", [0.05, 0.61, 0.76, 0.74]), (2, "London", [0.19, 0.81, 0.75, 0.11]), (3, "Moscow", [0.36, 0.55, 0.47, 0.94]), (4, "San Francisco", [0.18, 0.01, 0.85, 0.80]), (5, "Shanghai", [0.24, 0.18, 0.22, 0.44])]
-QUERY = [0.35, 0.55, 0.47, 0.94]
-ORDERS = {
-    "EUCLIDEAN": ["Moscow", "Berlin", "Shanghai", "San Francisco", "London"],
-    "DOT_PRODUCT": ["Moscow", "Berlin", "San Francisco", "London", "Shanghai"],
-    "COSINE": ["Moscow", "Shanghai", "Berlin", "San Francisco", "London"],
-}
+# hundredths of the vectors of five cities, and of the query; ids from the nearest on
+CITIES = {1: ("Berlin", "05 61 76 74"), 2: ("London", "19 81 75 11"), 3: ("Moscow", "36 55 47 94"), 4: ("San Francisco", "18 01 85 80"), 5: ("Shanghai", "24 18 22 44")}
+ORDERS = {"EUCLIDEAN": [3, 1, 5, 4, 2], "DOT_PRODUCT": [3, 1, 4, 2, 5], "COSINE": [3, 5, 1, 4, 2]}
+
+
+def hundredths(text):
+    return [int(x) / 100 for x in text.split()]
+
+
+QUERY = hundredths("35 55 47 94")
 
 
 @pytest.fixture
@@ -39,7 +42,7 @@ def cities(engine, sparse=False):
     fields += [{"name": m, "dataType": kind, "dimensions": 4, "metricType": m} for m in ORDERS]
     engine.create_table("db", {"name": "c", "fields": fields})
     form = (lambda v: {"indices": [0, 1, 2, 3], "values": v}) if sparse else list
-    return [{"ID": i, "Doc": d, **{m: form(v) for m in ORDERS}} for i, d, v in [*CITIES, CITIES[0]]]
+    return [{"ID": i, "Doc": CITIES[i][0], **{m: form(hundredths(CITIES[i][1])) for m in ORDERS}} for i in (1, 2, 3, 4, 5, 1)]
 
 
 @pytest.mark.parametrize("sparse", [False, True])
@@ -49,7 +52,7 @@ def test_golden_orders(engine, sparse):
     query = {"indices": [0, 1, 2, 3], "values": QUERY} if sparse else QUERY
     for metric, order in ORDERS.items():
         rows = engine.query("db", "c", query, metric, limit=6, response=["ID", "Doc"], with_distance=True).collect()
-        assert [r.Doc for r in rows] == order
+        assert [r.ID for r in rows] == order and rows[0].Doc == "Moscow"
         assert [r["@distance"] for r in rows] == sorted(r["@distance"] for r in rows)
     assert [r.ID for r in engine.query("db", "c", query, "EUCLIDEAN", limit=6, filter="ID <= 2", response=["ID"]).collect()] == [1, 2]
     with pytest.raises(EngineError):
