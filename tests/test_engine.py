@@ -14,7 +14,7 @@ from vectorframe.errors import EngineError, InvalidExpr, InvalidName, InvalidPay
 from vectorframe.functions import embed, metrics
 from vectorframe.operators import ann
 from vectorframe.operators.facets import facet
-from vectorframe.schema import Field
+from vectorframe.schema import Field, payload
 from vectorframe.streaming.ingest import changes, ingest
 
 # hundredths of the vectors of five cities, and of the query; ids from the nearest on
@@ -36,12 +36,15 @@ def engine(spark, tmp_path):
     return e
 
 
+def whole(values):
+    """A sparse vector with every index."""
+    return {"indices": list(range(len(values))), "values": values}
+
+
 def cities(engine, sparse=False):
     kind = "SPARSE_VECTOR_FLOAT" if sparse else "VECTOR_FLOAT"
-    fields = [{"name": "ID", "dataType": "INT", "primaryKey": True}, {"name": "Doc", "dataType": "STRING"}]
-    fields += [{"name": m, "dataType": kind, "dimensions": 4, "metricType": m} for m in ORDERS]
-    engine.create_table("db", {"name": "c", "fields": fields})
-    form = (lambda v: {"indices": [0, 1, 2, 3], "values": v}) if sparse else list
+    engine.create_table("db", payload("c", ID="INT key", Doc="STRING", **{m: f"{kind} 4 {m}" for m in ORDERS}))
+    form = whole if sparse else list
     return [{"ID": i, "Doc": CITIES[i][0], **{m: form(hundredths(CITIES[i][1])) for m in ORDERS}} for i in (1, 2, 3, 4, 5, 1)]
 
 
@@ -49,7 +52,7 @@ def cities(engine, sparse=False):
 def test_golden_orders(engine, sparse):
     records = cities(engine, sparse)
     assert engine.insert("db", "c", records) == {"inserted": 5, "skipped": 1}
-    query = {"indices": [0, 1, 2, 3], "values": QUERY} if sparse else QUERY
+    query = whole(QUERY) if sparse else QUERY
     for metric, order in ORDERS.items():
         rows = engine.query("db", "c", query, metric, limit=6, response=["ID", "Doc"], with_distance=True).collect()
         assert [r.ID for r in rows] == order and rows[0].Doc == "Moscow"
@@ -71,7 +74,7 @@ def test_golden_orders(engine, sparse):
 
 def test_half_circle_through_rebuild(engine):
     n = 2000
-    engine.create_table("db", {"name": "t", "fields": [{"name": "ID", "dataType": "INT", "primaryKey": True}, {"name": "v", "dataType": "VECTOR_FLOAT", "dimensions": 2, "metricType": "COSINE"}]})
+    engine.create_table("db", payload("t", ID="INT key", v="VECTOR_FLOAT 2 COSINE"))
     order = list(range(n))
     random.Random(3).shuffle(order)
     records = [{"ID": i, "v": [math.cos(i * math.pi / n), math.sin(i * math.pi / n)]} for i in order]
@@ -94,7 +97,7 @@ def test_half_circle_through_rebuild(engine):
 
 
 def test_invalid_sparse_rows(engine):
-    engine.create_table("db", {"name": "s", "fields": [{"name": "ID", "dataType": "INT", "primaryKey": True}, {"name": "v", "dataType": "SPARSE_VECTOR_FLOAT", "dimensions": 4}]})
+    engine.create_table("db", payload("s", ID="INT key", v="SPARSE_VECTOR_FLOAT 4"))
     bad = [([0, 1], [1.0]), ([1, 0], [1.0, 1.0]), ([0, 4], [1.0, 1.0]), ([-1, 2], [1.0, 1.0]), ([1, 3], [0.5, 0.5]), ([], [])]
     records = [{"ID": i + 1, "v": {"indices": a, "values": b}} for i, (a, b) in enumerate(bad)]
     assert engine.insert("db", "s", records) == {"inserted": 1, "skipped": 5}
@@ -140,10 +143,7 @@ def test_recall_of_cells(spark, sf_dir):
     assert np.mean(hits) >= 0.9
 
 
-FULL = {"name": "m", "fields": [
-    {"name": "k", "dataType": "string", "primaryKey": True}, {"name": "t", "dataType": "TinyInt"}, {"name": "f", "dataType": "FLOAT"}, {"name": "b", "dataType": "BOOL"},
-    {"name": "j", "dataType": "JSON"}, {"name": "at", "dataType": "GEO_POINT"}, {"name": "v", "dataType": "VECTOR_DOUBLE", "dimensions": 2, "metricType": "cosine"},
-]}
+FULL = payload("m", k="string key", t="TinyInt", f="FLOAT", b="BOOL", j="JSON", at="GEO_POINT", v="VECTOR_DOUBLE 2 cosine")
 
 
 def record(k, t=1, f=0.5, b=True, j=None, at=None, v=(3.0, 4.0)):
@@ -234,7 +234,7 @@ def test_text_index(engine):
         return embed.hashed(64)(texts, headers)
 
     engine.registry.register(embed.Model("keyed/64", 64, embed.hashed(64), reducible=True, key_header="X-Key"))
-    engine.create_table("db", {"name": "d", "fields": [{"name": "id", "dataType": "INT", "primaryKey": True}, {"name": "doc", "dataType": "STRING"}], "indices": [{"name": "i", "field": "doc", "model": "hashing/256"}]})
+    engine.create_table("db", payload("d", id="INT key", doc="STRING") | {"indices": [{"name": "i", "field": "doc", "model": "hashing/256"}]})
     engine.insert("db", "d", [{"id": 1, "doc": "the quick brown fox"}, {"id": 2, "doc": "lazy dogs sleep"}, {"id": 3, "doc": ""}])
     found = engine.query_text("db", "d", "quick brown foxes", limit=2, with_distance=True).collect()
     assert found[0].id == 1 and set(found[0].asDict()) == {"id", "doc", "@distance"}  # index fields aren't put out
@@ -302,7 +302,7 @@ def test_json_interface(spark, tmp_path):
 
 
 def test_stream_is_taken_once(engine, spark, tmp_path):
-    engine.create_table("db", {"name": "s", "fields": [{"name": "id", "dataType": "BIGINT"}, {"name": "v", "dataType": "VECTOR_FLOAT", "dimensions": 2}]})
+    engine.create_table("db", payload("s", id="BIGINT", v="VECTOR_FLOAT 2"))
     df = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("v"))
     df.write.parquet(str(tmp_path / "in"))
 

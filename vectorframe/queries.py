@@ -15,7 +15,7 @@ from vectorframe.engine import Engine
 from vectorframe.functions import embed, metrics
 from vectorframe.operators import ann, mutate, search
 from vectorframe.operators.facets import facet
-from vectorframe.schema import RID, Field, Table
+from vectorframe.schema import RID, Field, Table, payload
 from vectorframe.sources.files import read_csv
 from vectorframe.sources.storage import workspace
 from vectorframe.streaming.ingest import ingest
@@ -492,7 +492,7 @@ def _engine(spark: SparkSession) -> Engine:
 def table_lifecycle(spark, sf_dir):
     """A table on disk: created, filled in bulk, upserted, deleted from, dumped, loaded again and read."""
     engine = _engine(spark)
-    engine.create_table("d", {"name": "c", "fields": [{"name": "c_custkey", "dataType": "BIGINT", "primaryKey": True}, {"name": "c_name", "dataType": "STRING"}, {"name": "c_acctbal", "dataType": "DOUBLE"}, {"name": "v", "dataType": "VECTOR_FLOAT", "dimensions": 2}]})
+    engine.create_table("d", payload("c", c_custkey="BIGINT key", c_name="STRING", c_acctbal="DOUBLE", v="VECTOR_FLOAT 2"))
     v = F.array(F.col("c_acctbal").cast("float"), F.lit(1.0).cast("float")).alias("v")
     base, more = customers(spark, sf_dir)[0].select(*_OUT, v), batch(spark, sf_dir)
     engine.insert_frame("d", "c", base)
@@ -519,7 +519,7 @@ def load_csv(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """A stream of micro-batches into a table, read after it; a batch told twice counts once."""
     engine = _engine(spark)
-    engine.create_table("d", {"name": "e", "fields": [{"name": "vec_id", "dataType": "BIGINT", "primaryKey": True}, {"name": "label", "dataType": "INT"}, {"name": "embedding", "dataType": "VECTOR_FLOAT", "dimensions": 64, "metricType": "COSINE"}]})
+    engine.create_table("d", payload("e", vec_id="BIGINT key", label="INT", embedding="VECTOR_FLOAT 64 COSINE"))
     df = read(spark, sf_dir, "embeddings")
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/embeddings*.parquet")
     ingest(engine, "d", "e", stream, workspace(spark, "stream")).awaitTermination()

@@ -76,13 +76,27 @@ class Table:
         return [f.name for f in self.fields if not f.index]
 
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+_NAME = re.compile(r"[^\W\d]\w*", re.ASCII)
 
 
 def valid_name(name: object) -> bool:
     return isinstance(name, str) and bool(_NAME.fullmatch(name))
 
 
+def payload(table: str, /, **declared: str) -> dict:
+    """Payload of a table from short declarations: a type, then ``key``, or a vector's dimensions and metric."""
+    fields = []
+    for name, text in declared.items():
+        kind, *more = text.split()
+        f = {"name": name, "dataType": kind}
+        if more == ["key"]:
+            f["primaryKey"] = True
+        elif more:
+            f |= dict(zip(("dimensions", "metricType"), (int(more[0]), *more[1:])))
+        fields.append(f)
+    return {"name": table, "fields": fields}
+
+
 def parse_table(payload: dict, models: dict) -> Table:
     """Table of a JSON payload, checked by all rules of the catalog.
 
