@@ -7,7 +7,6 @@ shard by shard, and text is cut into pieces of a few megabytes at row boundaries
 
 from __future__ import annotations
 
-import ctypes
 import json
 import tempfile
 import uuid
@@ -147,20 +146,6 @@ class SortedTable:
 # ---------------------------------------------------------------- bytes of text
 
 
-_libc: list = []
-
-
-def give_back() -> None:
-    """Return freed memory to the system: a worker is kept between stages, and so is what it holds."""
-    pa.default_memory_pool().release_unused()
-    if not _libc:
-        try:
-            _libc.append(ctypes.CDLL(None).malloc_trim)
-        except (AttributeError, OSError):  # another C library than glibc
-            _libc.append(lambda _: 0)
-    _libc[0](0)
-
-
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch at row boundaries so that ``column`` has about ``limit`` bytes in each."""
     if not batch.num_rows:
@@ -172,8 +157,6 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
-    del offsets
-    give_back()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
