@@ -71,6 +71,15 @@ def test_all_documents_against_brute_force(texts):
         assert scanner.scan(t) == brute(t)
 
 
+def test_assigned_secret_in_any_case():
+    scanner, value = secret_scan.Scanner(), "abcdefgh12345678"
+    found = scanner.scan('api_key = "abcdefgh12345678" and PassWord: \'zzzzzzzzzzzzzzzzzz\' token="short"')
+    assert [f[3] for f in found if f[0] == "assigned_secret"] == [value, "z" * 18]
+    for name in ("APIKEY", "apiKey", "ApiKey", "Api_Key", "PASSWD", "Passwd", "PassWord", "AWS_ACCESS_KEY", "sEcReT", "ToKeN", "AP\u0130_\u212aEY", "ap\u0131key", "\u017fecret"):
+        text = f'\u0130\u0130 \u6f22 {name} = "{value}"; {name}: \'{value}\''
+        assert scanner.scan(text) == brute(text) and [f[3] for f in scanner.scan(text)] == [value, value], name
+
+
 def test_secret_odd_rows(odd, nothing, spark):
     assert secret_scan.find_secrets(odd).count() == 0 and secret_scan.find_secrets(nothing).count() == 0
     df = spark.createDataFrame([(1, f"{GOOD} {GOOD}"), (1, f"{GOOD} {GOOD}"), (None, "4111111111111111"), (2, None)], "doc_id long, text string")

@@ -1,7 +1,8 @@
 """Secret scans: keywords by an Aho-Corasick automaton, regular expressions near hits, checksums.
 
-1. One pass of an automaton over a whole text finds the keywords of all rules. Most texts have
-   none and are done.
+1. One pass of an automaton over a whole text finds the keywords of all rules, a second one over
+   a folded copy of the same length those of rules for any case. Most texts have none and are
+   done.
 2. A rule's expression is anchored: it is tried at the places its keywords hit and nowhere
    else (``back`` characters before the keyword for rules whose match begins earlier).
 3. Tokens with an embedded checksum are validated: CRC-32 in base 62 (tokens of code hosts and
@@ -68,13 +69,15 @@ def jwt_header(secret: str) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` must match at ``back`` or fewer characters before a keyword; group 1, if any, is the secret."""
+    """``pattern`` must match at ``back`` or fewer characters before a keyword; group 1, if any, is the secret.
+    With ``any_case`` both ignore case, and keywords are given in lower case."""
 
     name: str
     keywords: tuple[str, ...]
     pattern: str
     checksum: Callable[[str], bool] | None = None
     back: int = 0
+    any_case: bool = False
 
 
 _END = r"(?![A-Za-z0-9_])"
@@ -89,34 +92,46 @@ RULES = (
     Rule("private_key", ("-----BEGIN",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("web_token", ("eyJ",), r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*", jwt_header),
     Rule(
-        "assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "TOKEN", "SECRET", "PASSWORD", "API_KEY", "Token", "Secret", "Password"),
+        "assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key"),
         r"(?:token|secret|password|passwd|api_?key|access_key)[A-Za-z_]{0,20}['\"]?\s{0,4}(?::=|=>|=|:)\s{0,4}['\"]([A-Za-z0-9+/=_\-.]{16,200})['\"]",
+        any_case=True,
     ),
     Rule("payment_card", tuple(f"{d}{e}" for d in "3456" for e in "0123456789"), r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]\d|\d)", luhn),
     Rule("bank_account", _IBAN, r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97),
 )
 
 
+def fold(text: str) -> str:
+    """Lower case, character for character; i, k and s have other forms that expressions for any case match."""
+    return text.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s")
+
+
 class Scanner:
     """All rules, compiled once for a worker."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = [(r, re.compile(r.pattern, re.IGNORECASE if r.name == "assigned_secret" else 0)) for r in rules]
+        self.rules = [(r, re.compile(r.pattern, re.IGNORECASE if r.any_case else 0)) for r in rules]
+        self.automata = [(self._automaton(any_case), any_case) for any_case in (False, True) if any(r.any_case == any_case for r in rules)]
+
+    def _automaton(self, any_case: bool) -> ahocorasick.Automaton:
         of: dict[str, list[int]] = {}
-        for i, r in enumerate(rules):
-            for k in r.keywords:
-                of.setdefault(k, []).append(i)
-        self.automaton = ahocorasick.Automaton()
+        for i, (r, _) in enumerate(self.rules):
+            if r.any_case == any_case:
+                for k in r.keywords:
+                    of.setdefault(k, []).append(i)
+        out = ahocorasick.Automaton()
         for k, which in of.items():
-            self.automaton.add_word(k, (len(k), tuple(which)))
-        self.automaton.make_automaton()
+            out.add_word(k, (len(k), tuple(which)))
+        out.make_automaton()
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, str, bool | None]]:
         """(rule, start, end, secret, checksum verdict) of all findings, by place and rule."""
         tried: dict[int, set[int]] = {}
-        for end, (size, which) in self.automaton.iter(text):
-            for i in which:
-                tried.setdefault(i, set()).add(end - size + 1)
+        for automaton, any_case in self.automata:
+            for end, (size, which) in automaton.iter(fold(text) if any_case else text):
+                for i in which:
+                    tried.setdefault(i, set()).add(end - size + 1)
         out = []
         for i, places in tried.items():
             rule, pattern = self.rules[i]
