@@ -80,6 +80,15 @@ def test_assigned_secret_in_any_case():
         assert scanner.scan(text) == brute(text) and [f[3] for f in scanner.scan(text)] == [value, value], name
 
 
+@pytest.mark.parametrize("account", ["CZ6508000000192000145399", "GR1601101250000000012300695", "RO49AAAA1B31007593840000", "TR330006100519786457841326", "MT84MALT011000012345MTLCAST001S", "XK051212012345678906"])
+def test_bank_accounts_of_any_country(account):
+    scanner, wrong = secret_scan.Scanner(), account[:2] + f"{(int(account[2:4]) + 1) % 100:02}" + account[4:]
+    spaced = " ".join(account[i : i + 4] for i in range(0, len(account), 4))
+    text = f"to {account}, to {spaced}; not {wrong}."
+    assert scanner.scan(text) == brute(text)
+    assert [f[3:] for f in scanner.scan(text) if f[0] == "bank_account"] == [(account, True), (spaced, True), (wrong, False)]
+
+
 def test_secret_odd_rows(odd, nothing, spark):
     assert secret_scan.find_secrets(odd).count() == 0 and secret_scan.find_secrets(nothing).count() == 0
     df = spark.createDataFrame([(1, f"{GOOD} {GOOD}"), (1, f"{GOOD} {GOOD}"), (None, "4111111111111111"), (2, None)], "doc_id long, text string")

@@ -24,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -81,7 +82,8 @@ class Rule:
 
 
 _END = r"(?![A-Za-z0-9_])"
-_IBAN = tuple(f"{c}{d}" for c in ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE") for d in "0123456789")
+#: Account numbers of any country: two letters and a digit.
+_IBAN = tuple(f"{a}{b}{d}" for a in string.ascii_uppercase for b in string.ascii_uppercase for d in string.digits)
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, crc62),
     Rule("registry_token", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, crc62),
@@ -97,7 +99,7 @@ RULES = (
         any_case=True,
     ),
     Rule("payment_card", tuple(f"{d}{e}" for d in "3456" for e in "0123456789"), r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]\d|\d)", luhn),
-    Rule("bank_account", _IBAN, r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97),
+    Rule("bank_account", _IBAN, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97),
 )
 
 
