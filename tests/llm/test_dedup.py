@@ -173,3 +173,45 @@ def test_close_pairs_share_a_block(n):
         assert all(any(not set(b) & set(f) for b in blocks) for f in flips.tolist())
     p = 1 - np.prod([1 - (1 - simhash.DESIGN_RATE) ** len(b) for b in blocks])
     assert p >= 0.98
+
+
+def test_edge_pairs_share_a_block_at_every_size():
+    blocks = simhash.plan_blocks(10)
+    for n in (4000, 50_000, 12_000_000):
+        assert simhash.plan_blocks(n) == blocks
+    rng = np.random.default_rng(3)
+    for distance in (29, 36, 44, simhash.MAX_DISTANCE):
+        flipped = np.zeros((2000, simhash.BITS), dtype=bool)
+        np.put_along_axis(flipped, rng.permuted(np.tile(np.arange(simhash.BITS), (2000, 1)), axis=1)[:, :distance], True, axis=1)
+        assert (~flipped[:, np.array(blocks)].any(axis=2)).any(axis=1).mean() >= 0.95
+
+
+@pytest.mark.parametrize("n", [30, 300, 5000])
+def test_bucket_edges_connect_all_near_rows(n):
+    rng = np.random.default_rng(n)
+    fp = rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
+    for i in range(1, n // 3):  # families by chains: each differs from the last in 40 bits
+        if i % 5:
+            bits = np.unpackbits(fp[i - 1].view(np.uint8))
+            bits[rng.permutation(simhash.BITS)[:40]] ^= 1
+            fp[i] = np.packbits(bits).view(np.uint64)
+    order = rng.permutation(n)
+    batch = pa.record_batch([pa.array(np.zeros(n, np.int64)), pa.array(order), *(pa.array(w) for w in fp[order].view(np.int64).T)], ["key", "node", *simhash._WORDS])
+    pairs = [(a, b) for out in simhash._bucket_edges(48)(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    near = {(i, j) for i in range(n) for j in (np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]).sum(axis=1) <= 48) + i + 1).tolist()}
+    assert set(pairs) <= near
+
+    def groups(edges):
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(n)]
+
+    assert groups(pairs) == groups(near)

@@ -6,11 +6,11 @@ bytes, since short words are common to all texts of a language.
 
 Candidates. The bits are split into disjoint blocks, in several ways (``splits`` fixed
 permutations). Two fingerprints that differ in fewer bits than a split has blocks agree on
-some block of it; for larger distances the number of blocks is chosen so that a pair at
-``design_rate`` differing bits shares one with probability 1 - ``miss``. Blocks get a bit
-wider for every fourfold corpus and their number follows slowly; no bucket and no list of
-partners is capped. Texts with the same fingerprint are one node from the start, so copies
-never meet in a bucket.
+some block of it; for larger distances the number of blocks is chosen so that even a pair
+at ``max_distance`` shares one with probability 1 - ``miss``. Blocks are the same for every
+corpus, so which pairs are found doesn't hang on its size; no bucket and no list of partners
+is capped. Texts with the same fingerprint are one node from the start, so copies never meet
+in a bucket.
 
 Verification. Fingerprints travel with their blocks and are compared where they meet: at most
 ``max_distance`` bits may differ. A small bucket yields all its verified pairs; in a larger
@@ -44,7 +44,9 @@ BITS = 256
 #: Differing bits of 256 that still make a near duplicate.
 MAX_DISTANCE = 48
 #: Share of differing bits that the blocks are designed for, and the share of such pairs missed.
-DESIGN_RATE, MISS = 0.11, 0.01
+DESIGN_RATE, MISS = MAX_DISTANCE / BITS, 0.01
+#: Bits of a block: at 12 million fingerprints (about 30 GB) a bucket holds 730 or so.
+BLOCK_BITS = 14
 #: Features voted on at once.
 _CHUNK = 1 << 15
 
@@ -89,11 +91,12 @@ def fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def plan_blocks(n: int, design_rate: float = DESIGN_RATE, miss: float = MISS) -> list[list[int]]:
-    """Bit positions of each block for a corpus of ``n`` fingerprints."""
-    width = min(32, max(12, math.ceil(math.log2(max(n, 2)) / 2) + 7))
+def plan_blocks(n: int | None = None, design_rate: float = DESIGN_RATE, miss: float = MISS) -> list[list[int]]:
+    """Bit positions of each block, the same for every number ``n`` of fingerprints."""
+    width = BLOCK_BITS
     per_split = BITS // width
-    blocks = max(per_split, math.ceil(math.log(miss) / math.log1p(-((1 - design_rate) ** width))))
+    agree = (1 - design_rate) ** width
+    blocks = max(per_split, math.ceil(math.log(miss) / math.log1p(-agree)) if agree < 1 else 1)
     rng = np.random.default_rng(20240229)
     ways = [rng.permutation(BITS) for _ in range(math.ceil(blocks / per_split))]
     return [[int(b) for b in p[i * width : (i + 1) * width]] for p in ways for i in range(per_split)][:blocks]
@@ -108,8 +111,8 @@ def _block_rows(blocks: list[list[int]]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 raw = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
                 keys = np.unpackbits(raw, axis=1)[:, places].astype(np.int64) @ powers + (np.arange(len(blocks), dtype=np.int64) << 33)
                 words = raw.copy().view(np.int64)
@@ -121,6 +124,8 @@ def _block_rows(blocks: list[list[int]]):
 
 #: Buckets up to this size yield all their verified pairs.
 _SMALL_BUCKET = 24
+#: Buckets up to this size drop rows without a partner before a forest is grown.
+_MIDDLE_BUCKET = 4096
 
 
 def _bucket_edges(max_distance: int):
@@ -129,7 +134,15 @@ def _bucket_edges(max_distance: int):
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= max_distance
 
+    def met(fp: np.ndarray) -> np.ndarray:
+        words, step = np.ascontiguousarray(fp.view(np.uint64).T), max(1, (1 << 15) // len(fp))
+        apart = (sum(np.bitwise_count(w[a : a + step, None] ^ w).astype(np.uint16) for w in words) for a in range(0, len(fp), step))
+        return np.flatnonzero(np.concatenate([np.count_nonzero(d <= max_distance, axis=1) > 1 for d in apart]))
+
     def forest(node: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(node) <= _MIDDLE_BUCKET:
+            some = met(fp)
+            node, fp = node[some], fp[some]
         out, left = [], np.arange(len(node))
         while len(left):
             queue, left = [left[0]], left[1:]
@@ -185,7 +198,7 @@ def _bucket_edges(max_distance: int):
 def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Edges (a, b), a < b, between nodes (node bigint, fp binary; both unique) at most
     ``max_distance`` apart, which connect all that verified pairs of any bucket connect."""
-    blocks = plan_blocks(nodes.count())
+    blocks = plan_blocks(design_rate=max_distance / BITS)
     longs = ", ".join(f"{w} long" for w in _WORDS)
     rows = nodes.select("node", "fp").mapInArrow(_block_rows(blocks), f"key long, node long, {longs}")
     met = rows.repartition("key").sortWithinPartitions("key")
