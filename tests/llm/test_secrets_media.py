@@ -89,6 +89,14 @@ def test_bank_accounts_of_any_country(account):
     assert [f[3:] for f in scanner.scan(text) if f[0] == "bank_account"] == [(account, True), (spaced, True), (wrong, False)]
 
 
+def test_long_secrets_are_whole():
+    scanner = secret_scan.Scanner()
+    for rule, before, secret, after in (("assigned_secret", "token = '", "aB3." * 200, "'"), ("api_key_live", "", "rk_live_" + "x7" * 300, ""), ("chat_token", "", "xoxp-" + "12-ab" * 100, "")):
+        text = f"see {before}{secret}{after}, and no more"
+        assert scanner.scan(text) == brute(text)
+        assert [f[3] for f in scanner.scan(text) if f[0] == rule] == [secret]
+
+
 def test_secret_odd_rows(odd, nothing, spark):
     assert secret_scan.find_secrets(odd).count() == 0 and secret_scan.find_secrets(nothing).count() == 0
     df = spark.createDataFrame([(1, f"{GOOD} {GOOD}"), (1, f"{GOOD} {GOOD}"), (None, "4111111111111111"), (2, None)], "doc_id long, text string")

@@ -88,14 +88,14 @@ RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, crc62),
     Rule("registry_token", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, crc62),
     Rule("cloud_access_key", ("AKIA", "ASIA"), r"A[KS]IA[A-Z2-7]{16}" + _END),
-    Rule("api_key_live", ("sk_live_", "rk_live_"), r"[sr]k_live_[A-Za-z0-9]{16,99}" + _END),
+    Rule("api_key_live", ("sk_live_", "rk_live_"), r"[sr]k_live_[A-Za-z0-9]{16,}" + _END),
     Rule("maps_api_key", ("AIza",), r"AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])"),
-    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"xox[bpars]-[A-Za-z0-9\-]{10,200}"),
+    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"xox[bpars]-[A-Za-z0-9\-]{10,}"),
     Rule("private_key", ("-----BEGIN",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("web_token", ("eyJ",), r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*", jwt_header),
     Rule(
         "assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key"),
-        r"(?:token|secret|password|passwd|api_?key|access_key)[A-Za-z_]{0,20}['\"]?\s{0,4}(?::=|=>|=|:)\s{0,4}['\"]([A-Za-z0-9+/=_\-.]{16,200})['\"]",
+        r"(?:token|secret|password|passwd|api_?key|access_key)[A-Za-z_]{0,20}['\"]?\s{0,4}(?::=|=>|=|:)\s{0,4}['\"]([A-Za-z0-9+/=_\-.]{16,})['\"]",
         any_case=True,
     ),
     Rule("payment_card", tuple(f"{d}{e}" for d in "3456" for e in "0123456789"), r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]\d|\d)", luhn),
