@@ -9,7 +9,7 @@
    key has no chain is unique and goes no further, without any shuffle of its text.
 3. Texts on chains are folded inside their task (equal bytes become one row), sent to the
    owner of their key, and compared there byte by byte, so hash collisions never merge
-   different texts. A text with many copies crosses the network once for each task.
+   different texts. A text with many copies crosses the network about once for each task.
 
 Defined cases. A null text is unknown, equals nothing and is kept; the empty text is a text
 like any other. The copy kept is the one with the smallest ``doc_id`` (nulls last); among
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorframe.llm.shared import fresh, pieces, read_bytes, shared_dir, write_bytes
+from vectorframe.llm.shared import fresh, pieces, read_bytes, settle, shared_dir, write_bytes
 
 #: Keys in a bucket before it splits.
 BUCKET_CAPACITY = 512
@@ -132,21 +132,20 @@ class Pages:
         return (low < end) & (self.keys[np.minimum(low, len(self.keys) - 1)] == keys)
 
 
-_opened: dict[str, OrderedDict[int, Pages]] = {}
+class Opened:
+    """Pages of all owners (chained keys alone) of an index; those used last are kept, up to a bound."""
 
+    def __init__(self, uri: str):
+        self.uri, self.kept = uri, OrderedDict()
 
-def _pages(uri: str, owner: int) -> Pages:
-    """Pages of one owner (chained keys alone); those used last are kept, up to a bound."""
-    if uri not in _opened:
-        _opened.clear()
-        _opened[uri] = OrderedDict()
-    kept = _opened[uri]
-    if owner not in kept:
-        kept[owner] = Pages(read_bytes(f"{uri}/owner-{owner:06d}.npz"))
-        while len(kept) > 1 and sum(p.size for p in kept.values()) > PAGE_CACHE_BYTES:
-            kept.popitem(last=False)
-    kept.move_to_end(owner)
-    return kept[owner]
+    def of(self, owner: int) -> Pages:
+        kept = self.kept
+        if owner not in kept:
+            kept[owner] = Pages(read_bytes(f"{self.uri}/owner-{owner:06d}.npz"))
+            while len(kept) > 1 and sum(p.size for p in kept.values()) > PAGE_CACHE_BYTES:
+                kept.popitem(last=False)
+        kept.move_to_end(owner)
+        return kept[owner]
 
 
 def _owner_bits(df: DataFrame) -> int:
@@ -189,38 +188,56 @@ def on_chain(uri: str, bits: int):
     """Arrow UDF: whether the index has a chain for a key."""
 
     @F.arrow_udf(T.BooleanType())
-    def probe(h: pa.Array) -> pa.Array:
-        keys = h.to_numpy(zero_copy_only=False).view(np.uint64)
-        owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        found = np.zeros(len(keys), dtype=bool)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-            at = order[a:b]
-            found[at] = _pages(uri, int(owner[at[0]])).contains(keys[at])
-        return pa.array(found)
+    def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pages = Opened(uri)
+        for h in batches:
+            keys = h.to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            found = np.zeros(len(keys), dtype=bool)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.flatnonzero(np.diff(owner[order], prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+                at = order[a:b]
+                found[at] = pages.of(int(owner[at[0]])).contains(keys[at])
+            yield pa.array(found)
 
     return probe
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, text, row) -> one row for each distinct text of a piece: (h, doc_id, ids,
-    text, row) with the smallest id first and the row that has it."""
+    """Rows (h, doc_id, text, row) -> one row for each distinct text: (h, doc_id, ids, text, row)
+    with the smallest id first and the row that has it. Texts are held until they, or their ids,
+    are many."""
+    groups: dict[tuple[int, str], list] = {}
+    held = 0
+
+    def folded(schema: pa.Schema) -> pa.RecordBatch:
+        ids = schema.field("doc_id").type
+        columns = {"h": pa.array([k[0] for k in groups], pa.int64()), "doc_id": pa.array([g[0] for g in groups.values()], ids), "ids": pa.array([g[1] for g in groups.values()], pa.list_(ids)), "text": pa.array([k[1] for k in groups], pa.string())}
+        rows = [g[2] for g in groups.values()]
+        columns["row"] = pa.concat_arrays(rows) if rows else pa.array([], schema.field("row").type)
+        return pa.record_batch(list(columns.values()), list(columns))
+
+    schema = None
     for batch in batches:
+        schema = batch.schema
         for b in pieces(batch, "text", FOLD_BYTES):
-            groups: dict[tuple[int, str], list] = {}
+            row = b.column("row")
             for n, (h, i, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text")))):
                 if (g := groups.get((h, text))) is None:
-                    groups[h, text] = [i, [i], n]
+                    groups[h, text] = [i, [i], row.take(pa.array([n]))]
+                    held += len(text) + 100
                     continue
                 g[1].append(i)
+                held += 8
                 if i is not None and (g[0] is None or i < g[0]):
-                    g[0], g[2] = i, n
-            at = pa.array([g[2] for g in groups.values()], pa.int64())
-            ids = pa.array([g[1] for g in groups.values()], pa.list_(pa.int64()))
-            columns = {c: b.column(c).take(at) for c in ("h", "doc_id", "text", "row")}
-            del groups
-            yield pa.record_batch([columns["h"], columns["doc_id"], ids, columns["text"], columns["row"]], ["h", "doc_id", "ids", "text", "row"])
+                    g[0], g[2] = i, row.take(pa.array([n]))
+            if held > FOLD_BYTES:
+                yield folded(schema)
+                groups.clear()
+                held = 0
+    if groups:
+        yield folded(schema)
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
@@ -243,8 +260,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _resolve_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, ids, of, _ in _chains(batches):
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(of, pa.int64())], ["doc_id", "duplicate_of"])
+    for b, ids, of, _ in _chains(batches):
+        kind = b.schema.field("doc_id").type
+        yield pa.record_batch([pa.array(ids, kind), pa.array(of, kind)], ["doc_id", "duplicate_of"])
 
 
 def _resolve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,36 +271,41 @@ def _resolve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([b.column("text").take(at), b.column("row").take(at)], ["text", "row"])
 
 
-def _owned(docs: DataFrame, h: str, id_column: str, text: str, row: Column, bits: int) -> DataFrame:
-    """Folded chain texts at their owners, by key and smallest id."""
-    packed = docs.select(F.col(h).alias("h"), F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), row.alias("row"))
-    kind = packed.schema["row"].dataType
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("text", T.StringType()), T.StructField("row", kind)])
+def _owned(docs: DataFrame, folder: str, h: str, id_column: str, text: str, row: Column, bits: int) -> DataFrame:
+    """Folded chain texts at their owners, by key and smallest id.
+
+    The texts on chains are settled first: a task that probed them and folded them would keep
+    two Python workers at once.
+    """
+    packed = settle(docs.select(F.col(h).alias("h"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"), row.alias("row")), f"{folder}/chains")
+    kind = {f.name: f.dataType for f in packed.schema}
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", kind["doc_id"]), T.StructField("ids", T.ArrayType(kind["doc_id"])), T.StructField("text", T.StringType()), T.StructField("row", kind["row"])])
     folded = packed.mapInArrow(_fold, schema)
     return folded.repartition(1 << bits, F.shiftrightunsigned("h", 64 - bits)).sortWithinPartitions("h", F.col("doc_id").asc_nulls_last())
 
 
-def _probed(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, int]:
+def _probed(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str, int]:
     uri = shared_dir(docs.sparkSession, "exact")
     bits = build_index(docs, uri, text)
     h, chain = fresh(docs, "key"), fresh(docs, "chain")
     probed = docs.withColumn(h, text_key(F.col(text))).withColumn(chain, on_chain(uri, bits)(F.col(h)) & F.col(text).isNotNull())
-    return probed, h, chain, bits
+    return probed, uri, h, chain, bits
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, duplicate_of) of every row whose text an earlier row has; see the module."""
-    probed, h, chain, bits = _probed(docs.select(F.col(id_column), F.col(text)), text)
-    owned = _owned(probed.where(F.col(chain)), h, id_column, text, F.lit(None).cast("boolean"), bits)
-    return owned.drop("row").mapInArrow(_resolve_pairs, "doc_id long, duplicate_of long")
+    probed, folder, h, chain, bits = _probed(docs.select(F.col(id_column), F.col(text)), text)
+    owned = _owned(probed.where(F.col(chain)), folder, h, id_column, text, F.lit(None).cast("boolean"), bits)
+    kind = owned.schema["doc_id"].dataType
+    return owned.drop("row").mapInArrow(_resolve_pairs, T.StructType([T.StructField("doc_id", kind), T.StructField("duplicate_of", kind)]))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each text; rows with unique or null texts aren't shuffled."""
-    probed, h, chain, bits = _probed(docs, text)
+    probed, folder, h, chain, bits = _probed(docs, text)
     others = [c for c in docs.columns if c != text]
     rows = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
-    owned = _owned(probed.where(F.col(chain)), h, id_column, text, rows, bits)
+    owned = _owned(probed.where(F.col(chain)), folder, h, id_column, text, rows, bits)
     kept = owned.mapInArrow(_resolve_rows, T.StructType([T.StructField("text", T.StringType()), owned.schema["row"]]))
     same = kept.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
     return probed.where(~F.col(chain)).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(same)
