@@ -122,13 +122,33 @@ def test_near_against_brute_force(spark, docs, texts):
     for i, r in root.items():
         size[r].add(rows[i][0])
     got = simhash.near_duplicates(table).collect()
-    ids = {rows[i][0]: rows[r][0] for i, r in root.items()}
-    # nothing is joined that brute force doesn't join, and nearly all of what it joins is found
-    assert all(ids[g.doc_id] == ids[g.near_duplicate_of] for g in got)
-    assert len({g.doc_id for g in got}) == len(got) >= 0.97 * len(gone)
-    found = {g.doc_id: g.near_duplicate_of for g in got}
-    assert all(found[i] == min(x for x in size[next(r for j, r in root.items() if rows[j][0] == i)]) for i in list(found)[:20])
-    assert sum(i in found for i, _ in edited) >= 0.9 * len(edited)
+    first = {r: min(ids) for r, ids in size.items()}
+    assert {(g.doc_id, g.near_duplicate_of) for g in got} == {(rows[i][0], first[r]) for i, r in root.items() if rows[i][0] != first[r]}
+    assert len(got) == len(gone) and sum(g.doc_id >= 1_000_000 for g in got) >= 0.9 * len(edited)
+
+
+def test_the_same_pairs_at_every_size(spark):
+    """A table alone, and among a hundred times as many other fingerprints."""
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 2**63, (300, 4)).astype(np.uint64)
+    for i in range(1, 300, 2):
+        fp[i] = flipped(fp[i - 1], rng.permutation(simhash.BITS)[: 1 + i % simhash.MAX_DISTANCE])
+    more = rng.integers(0, 2**63, (30_000, 4)).astype(np.uint64)
+    nodes = [(i, bytearray(x.tobytes())) for i, x in enumerate(np.concatenate([fp, more]))]
+    alone, among = (spark.createDataFrame(nodes[:n], "node long, fp binary").repartition(3) for n in (300, len(nodes)))
+    want = {(i - 1, i) for i in range(1, 300, 2)}
+    assert {tuple(r) for r in simhash.near_pairs(alone).collect()} == want
+    assert {tuple(r) for r in simhash.near_pairs(among).collect()} == want
+    assert {tuple(r) for r in simhash.near_pairs(alone, bucket_rows=3).collect()} == want  # all but the smallest buckets dealt to hands
+
+
+def test_ids_of_other_types(spark):
+    text = "one text of several words that stands here more than once"
+    rows = [("b", text), ("a", text), (None, text), ("c", text + " again"), ("d", "wholly other words are in this one")]
+    df = spark.createDataFrame(rows, "name string, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(df, "name").collect()} >= {("b", "a"), (None, "a")}
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(df, "name").collect()} == {("b", "a"), (None, "a")}
+    assert sorted(r.name for r in exact_dedup.drop_exact_duplicates(df, "name").collect()) == ["a", "c", "d"]
 
 
 def test_near_odd_rows(odd, nothing):
@@ -163,42 +183,61 @@ def test_components(spark):
     assert {(r.node, r.root) for r in got.collect()} == {(i, find(i)) for i in root if i != find(i)}
 
 
-@pytest.mark.parametrize("n", [10, 10_000, 20_000_000])
-def test_close_pairs_share_a_block(n):
-    blocks = simhash.plan_blocks(n)
-    per_split = simhash.BITS // len(blocks[0])
-    rng = np.random.default_rng(n)
-    for distance in (1, per_split - 1):  # fewer differing bits than a split has blocks: certain
-        flips = rng.permuted(np.tile(np.arange(256), (200, 1)), axis=1)[:, :distance]
-        assert all(any(not set(b) & set(f) for b in blocks) for f in flips.tolist())
-    p = 1 - np.prod([1 - (1 - simhash.DESIGN_RATE) ** len(b) for b in blocks])
-    assert p >= 0.98
-
-
-def test_edge_pairs_share_a_block_at_every_size():
-    blocks = simhash.plan_blocks(10)
-    for n in (4000, 50_000, 12_000_000):
-        assert simhash.plan_blocks(n) == blocks
-    rng = np.random.default_rng(3)
-    for distance in (29, 36, 44, simhash.MAX_DISTANCE):
-        flipped = np.zeros((2000, simhash.BITS), dtype=bool)
-        np.put_along_axis(flipped, rng.permuted(np.tile(np.arange(simhash.BITS), (2000, 1)), axis=1)[:, :distance], True, axis=1)
-        assert (~flipped[:, np.array(blocks)].any(axis=2)).any(axis=1).mean() >= 0.95
-
-
-@pytest.mark.parametrize("n", [30, 300, 5000])
-def test_bucket_edges_connect_all_near_rows(n):
+def flipped(fp, places):
+    bits = np.unpackbits(fp.view(np.uint8))
+    bits[places] ^= 1
+    return np.packbits(bits).view(np.uint64)
+
+
+@pytest.mark.parametrize("distance", [0, 1, 7, 41, 48, 255])
+def test_close_pairs_share_a_block(distance):
+    plan = simhash.plan_blocks(distance)
+    assert np.array_equal(np.concatenate(plan.bits), np.arange(simhash.BITS)) and len(plan.blocks) == distance + 1
+    rng = np.random.default_rng(distance)
+    differ = np.zeros((500, simhash.BITS), dtype=bool)
+    np.put_along_axis(differ, rng.permuted(np.tile(np.arange(simhash.BITS), (500, 1)), axis=1)[:, :distance], True, axis=1)
+    for row in differ:
+        near = [g for g, (low, high) in enumerate(plan.groups) if row[np.concatenate(plan.bits[low:high])].sum() <= plan.slack(g)]
+        assert near and all(any(not row[plan.bits[i]].any() for i in range(*plan.groups[g])) for g in near)
+
+
+def edges_of(fp, distance, hot=None):
+    plan = simhash.plan_blocks(distance)
+    order = np.random.default_rng(0).permutation(len(fp))
+    nodes = pa.record_batch([pa.array(order), pa.array([x.tobytes() for x in fp[order]], pa.binary())], ["node", "fp"])
+    rows = pa.Table.from_batches(simhash._block_rows(plan, hot or {})(iter([nodes]))).sort_by([("key", "ascending"), ("part", "ascending")])
+    return [(a, b) for out in simhash._bucket_edges(plan, distance)(iter(rows.to_batches())) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+
+
+@pytest.mark.parametrize(("n", "distance", "large"), [(30, 41, 1 << 16), (300, 41, 1 << 16), (300, 41, 8), (2500, 41, 1 << 16), (300, 48, 8), (300, 3, 8), (60, 0, 8)])
+def test_bucket_edges_connect_all_near_rows(n, distance, large, monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE", large)
     rng = np.random.default_rng(n)
     fp = rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
-    for i in range(1, n // 3):  # families by chains: each differs from the last in 40 bits
+    for i in range(1, n // 3):  # families by chains
         if i % 5:
-            bits = np.unpackbits(fp[i - 1].view(np.uint8))
-            bits[rng.permutation(simhash.BITS)[:40]] ^= 1
-            fp[i] = np.packbits(bits).view(np.uint64)
-    order = rng.permutation(n)
-    batch = pa.record_batch([pa.array(np.zeros(n, np.int64)), pa.array(order), *(pa.array(w) for w in fp[order].view(np.int64).T)], ["key", "node", *simhash._WORDS])
-    pairs = [(a, b) for out in simhash._bucket_edges(48)(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
-    near = {(i, j) for i in range(n) for j in (np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]).sum(axis=1) <= 48) + i + 1).tolist()}
+            fp[i] = flipped(fp[i - 1], rng.permutation(simhash.BITS)[: max(1, distance - 2)])
+    check(fp, edges_of(fp, distance), distance)
+
+
+def test_a_large_family(monkeypatch):
+    """A third of all rows near one another: few edges leave the buckets, and none is lost."""
+    monkeypatch.setattr(simhash, "_LEADERS", 16)
+    monkeypatch.setattr(simhash, "_FAMILY", 8)
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**63, (1500, 4)).astype(np.uint64)
+    fp[:, 0] &= np.uint64(0xFFFFFFFFFFFF0000)  # all meet in some buckets
+    for i in range(1, 500):
+        fp[i] = flipped(fp[0], rng.permutation(simhash.BITS)[: 5 + i % 20])
+    fp[900] = flipped(fp[7], rng.permutation(simhash.BITS)[:38])
+    pairs = edges_of(fp, 41)
+    check(fp, pairs, 41)
+    assert len(set(pairs)) < 42 * 500 * 3 < 500 * 499 / 2
+
+
+def check(fp, pairs, distance):
+    n = len(fp)
+    near = {(i, j) for i in range(n) for j in (np.flatnonzero(np.bitwise_count(fp[i] ^ fp[i + 1 :]).sum(axis=1) <= distance) + i + 1).tolist()}
     assert set(pairs) <= near
 
     def groups(edges):

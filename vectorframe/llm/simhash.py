@@ -4,19 +4,19 @@ Fingerprint. 256 bits; each bit is the sign of a weighted vote of the text's dis
 (lower case, punctuation dropped), a word's weight growing with its length up to eight
 bytes, since short words are common to all texts of a language.
 
-Candidates. The bits are split into disjoint blocks, in several ways (``splits`` fixed
-permutations). Two fingerprints that differ in fewer bits than a split has blocks agree on
-some block of it; for larger distances the number of blocks is chosen so that even a pair
-at ``max_distance`` shares one with probability 1 - ``miss``. Blocks are the same for every
-corpus, so which pairs are found doesn't hang on its size; no bucket and no list of partners
-is capped. Texts with the same fingerprint are one node from the start, so copies never meet
-in a bucket.
-
-Verification. Fingerprints travel with their blocks and are compared where they meet: at most
-``max_distance`` bits may differ. A small bucket yields all its verified pairs; in a larger
-one, each fingerprint reached is compared with all not yet reached, so every verified pair
-counts but only the edges of a spanning forest leave the task, which keeps large families
-linear in what is shuffled.
+Candidates. The bits are split into ``max_distance`` + 1 disjoint blocks, so two fingerprints
+within the distance agree on some block for certain (pigeonhole), at every size of the corpus.
+Each fingerprint goes to the bucket of each of its blocks; no bucket and no list of partners is
+capped. Texts with the same fingerprint are one node from the start, so copies never meet in a
+bucket.
+
+Buckets. Blocks lie in groups of six, and a pair within the distance has a group that differs in
+five bits or fewer (the same principle), of which some block is then equal: rows of a bucket are
+held against each other by the few words of its group alone, and in full only if these are close.
+Large buckets are divided once more by the group's other blocks, and buckets above
+``bucket_rows`` are dealt to several tasks, every two rows meeting in one. What a task puts out
+is one edge for each pair, in the first bucket that it can be found in; rows near a common row of
+the bucket are joined to that one alone, which keeps large families linear.
 
 Groups are the connected components of the verified pairs; the row with the smallest id
 (nulls last) stays.
@@ -28,8 +28,8 @@ An empty table gives an empty result. Extra columns pass through, whatever their
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,19 @@ from pyspark.sql import types as T
 from vectorframe.llm.shared import SortedTable, fresh, mix64, pieces, settle, shared_dir, span_hashes, text_bytes, word_spans
 
 BITS = 256
-#: Differing bits of 256 that still make a near duplicate.
-MAX_DISTANCE = 48
-#: Share of differing bits that the blocks are designed for, and the share of such pairs missed.
-DESIGN_RATE, MISS = MAX_DISTANCE / BITS, 0.01
-#: Bits of a block: at 12 million fingerprints (about 30 GB) a bucket holds 730 or so.
-BLOCK_BITS = 14
+#: Differing bits of 256 that still make a near duplicate. Of pairs of documents that share 0.85
+#: of their distinct words or more, 0.99 are within it.
+MAX_DISTANCE = 41
+#: Blocks of a group, and most bits of a block that its key has.
+GROUP, _KEY_BITS = 6, 40
+#: Rows of a bucket above which its rows are dealt to several tasks.
+BUCKET_ROWS = 1 << 18
+#: Rows of a bucket above which it is divided further before rows are compared.
+_LARGE = 1 << 16
+#: Rows that are held against a whole bucket first, and rows near one of them that make a family.
+_LEADERS, _FAMILY = 64, 64
+#: Fingerprints packed at once; pairs compared at once, and columns of these.
+_PACK_ROWS, _TILE, _TILE_COLUMNS = 1 << 11, 1 << 17, 4096
 #: Features voted on at once.
 _CHUNK = 1 << 15
 
@@ -91,118 +98,287 @@ def fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def plan_blocks(n: int | None = None, design_rate: float = DESIGN_RATE, miss: float = MISS) -> list[list[int]]:
-    """Bit positions of each block, the same for every number ``n`` of fingerprints."""
-    width = BLOCK_BITS
-    per_split = BITS // width
-    agree = (1 - design_rate) ** width
-    blocks = max(per_split, math.ceil(math.log(miss) / math.log1p(-agree)) if agree < 1 else 1)
-    rng = np.random.default_rng(20240229)
-    ways = [rng.permutation(BITS) for _ in range(math.ceil(blocks / per_split))]
-    return [[int(b) for b in p[i * width : (i + 1) * width]] for p in ways for i in range(per_split)][:blocks]
-
-
-_WORDS = [f"w{i}" for i in range(BITS // 64)]
-
-
-def _block_rows(blocks: list[list[int]]):
-    places = np.array(blocks)
-    powers = 1 << np.arange(places.shape[1], dtype=np.int64)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-                keys = np.unpackbits(raw, axis=1)[:, places].astype(np.int64) @ powers + (np.arange(len(blocks), dtype=np.int64) << 33)
-                words = raw.copy().view(np.int64)
-                columns = [keys.ravel(), np.repeat(part.column("node").to_numpy(), len(blocks)), *(np.repeat(w, len(blocks)) for w in words.T)]
-                yield pa.record_batch([pa.array(c) for c in columns], ["key", "node", *_WORDS])
-
-    return rows
-
-
-#: Buckets up to this size yield all their verified pairs.
-_SMALL_BUCKET = 24
-#: Buckets up to this size drop rows without a partner before a forest is grown.
-_MIDDLE_BUCKET = 4096
-
-
-def _bucket_edges(max_distance: int):
-    """Rows sorted by key -> edges (a, b), a < b, of verified pairs; see the module."""
-
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= max_distance
-
-    def met(fp: np.ndarray) -> np.ndarray:
-        words, step = np.ascontiguousarray(fp.view(np.uint64).T), max(1, (1 << 15) // len(fp))
-        apart = (sum(np.bitwise_count(w[a : a + step, None] ^ w).astype(np.uint16) for w in words) for a in range(0, len(fp), step))
-        return np.flatnonzero(np.concatenate([np.count_nonzero(d <= max_distance, axis=1) > 1 for d in apart]))
-
-    def forest(node: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(node) <= _MIDDLE_BUCKET:
-            some = met(fp)
-            node, fp = node[some], fp[some]
-        out, left = [], np.arange(len(node))
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                hit = near(fp[left], fp[at])
-                if hit.any():
-                    out.append((np.full(int(hit.sum()), node[at]), node[left[hit]]))
-                    queue += left[hit].tolist()
-                    left = left[~hit]
-        return out
-
-    def edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        sizes = np.diff(np.append(starts, len(key)))
-        found = []
-        for s, n in zip(starts[sizes > _SMALL_BUCKET].tolist(), sizes[sizes > _SMALL_BUCKET].tolist()):
-            found += forest(node[s : s + n], fp[s : s + n])
-        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= _SMALL_BUCKET), sizes))
-        key, node, fp = key[small], node[small], fp[small]
-        for d in range(1, _SMALL_BUCKET):
-            at = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.zeros(0, np.int64)
-            if not len(at):
-                break
-            at = at[near(fp[at], fp[at + d])]
-            found.append((node[at], node[at + d]))
-        if found:
-            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+@dataclass(frozen=True)
+class Block:
+    """Bits of one block that make its key, and of its group: all others, and those of each other block."""
+
+    key: np.ndarray
+    group: int
+    rest: np.ndarray
+    others: tuple[np.ndarray, ...]
+    after: int  # how many of ``others`` come before it
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Blocks of a distance: one more than it has bits, in groups of ``GROUP`` at most."""
+
+    blocks: tuple[Block, ...]
+    #: Block edges as bit positions, and for each group its first and last block.
+    groups: tuple[tuple[int, int], ...]
+    bits: tuple[np.ndarray, ...]
+
+    def slack(self, group: int) -> int:
+        """Differing bits that a group may have at most to have an equal block for certain."""
+        low, high = self.groups[group]
+        return high - low - 1
+
+
+def plan_blocks(max_distance: int = MAX_DISTANCE) -> Plan:
+    """``max_distance`` + 1 disjoint blocks of all bits. Whatever the number of fingerprints: the
+    distance alone decides."""
+    if not 0 <= max_distance < BITS:
+        raise ValueError(f"max_distance must be from 0 to {BITS - 1}")
+    bits = tuple(np.array_split(np.arange(BITS), max_distance + 1))
+    groups = tuple((at, min(at + GROUP, len(bits))) for at in range(0, len(bits), GROUP))
+    blocks = []
+    for g, (low, high) in enumerate(groups):
+        for i in range(low, high):
+            key = bits[i][:_KEY_BITS]
+            rest = np.setdiff1d(np.concatenate(bits[low:high]), key)
+            blocks.append(Block(key, g, rest, tuple(bits[j] for j in range(low, high) if j != i), i - low))
+    return Plan(tuple(blocks), groups, bits)
+
+
+#: A member of a bucket, as it is packed.
+_MEMBER = np.dtype([("node", "<i8"), ("fp", "<u8", (BITS // 64,))])
+
+
+def _unpacked(fp: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), BITS // 8), axis=1)
+
+
+def _number(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return bits[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places), dtype=np.int64))
+
+
+def _collected(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and fingerprints of batches, about ``rows`` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        if b.num_rows:
+            raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            held.append((b.column("node").to_numpy(), raw))
+        if sum(len(n) for n, _ in held) >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _keys(plan: Plan, bits: np.ndarray, block: int) -> np.ndarray:
+    return (np.int64(block) << 48) | _number(bits, plan.blocks[block].key)
+
+
+def _count_keys(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, fp in _collected(batches, _PACK_ROWS):
+            bits = _unpacked(fp)
+            for i in range(len(plan.blocks)):
+                key, n = np.unique(_keys(plan, bits, i), return_counts=True)
+                yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
+
+    return run
+
+
+def _block_rows(plan: Plan, hot: dict[int, int]):
+    """Fingerprints -> (key, part, members): the members of a bucket that a batch has, packed.
+
+    A bucket of ``hot`` has its rows dealt to as many hands as given there, and every two hands
+    make a part: each pair of rows meets in some part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        for node, fp in _collected(batches, _PACK_ROWS):
+            members = np.zeros(len(node), _MEMBER)
+            members["node"], members["fp"] = node, fp
+            bits = _unpacked(fp)
+            for i in range(len(plan.blocks)):
+                key = _keys(plan, bits, i)
+                order = np.argsort(key, kind="stable")
+                keys, first = np.unique(key[order], return_index=True)
+                rows: list[tuple[int, int, bytes]] = []
+                for k, cut in zip(keys.tolist(), np.split(members[order], first[1:])):
+                    hands = hot.get(k, 1)
+                    if hands == 1:
+                        rows.append((k, 0, cut.tobytes()))
+                        continue
+                    hand = (mix64(cut["node"].astype(np.uint64)) % np.uint64(hands)).astype(np.int64)
+                    for x in range(hands):
+                        for y in range(x + 1, hands):
+                            if len(some := cut[(hand == x) | (hand == y)]):
+                                rows.append((k, x * hands + y, some.tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["key", "part", "members"])
+
+    return run
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _families(fp: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of rows (0: none) such that rows with the same label are connected by the edges, also
+    given, between positions. Leaders are rows spread over the bucket, as only families that hold
+    a good part of it need to be told from the rest."""
+    label = np.zeros(len(fp), dtype=np.int64)
+    pivots = np.unique(np.linspace(0, len(fp) - 1, _LEADERS).astype(np.int64))
+    hits = np.stack([_apart(fp, fp[p]) <= max_distance for p in pivots])
+    some = hits.sum(axis=1) >= _FAMILY
+    pivots, hits = pivots[some], hits[some]
+    a, b = [], []
+    todo, n = list(range(len(pivots))), 0
+    while todo:
+        n += 1
+        queue, covered = [todo.pop(0)], np.zeros(len(fp), dtype=bool)
+        while queue:
+            k = queue.pop()
+            new = np.flatnonzero(hits[k] & ~covered)
+            common = np.flatnonzero(hits[k] & covered)[:1]
+            at = np.concatenate([common, new])
+            a.append(np.full(len(at), pivots[k]))
+            b.append(at)
+            covered |= hits[k]
+            queue += (near := [j for j in todo if (hits[j] & covered).any()])
+            todo = [j for j in todo if j not in near]
+        label[covered] = n
+    none = np.zeros(0, np.int64)
+    return label, np.concatenate(a or [none]), np.concatenate(b or [none])
+
+
+def _meeting(rest: np.ndarray, label: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs whose words ``rest`` (rows, words) differ in at most ``slack`` bits
+    and that don't share a label; rows come ordered by label."""
+    n, columns = len(rest), [np.ascontiguousarray(w) for w in rest.T]
+    end_of = np.searchsorted(label, label, side="right")
+    across = min(n, _TILE_COLUMNS)
+    down = _TILE // across
+    x, counts = np.empty(down * across, rest.dtype), np.empty((2, down * across), np.uint8)
+    for at in range(0, n - 1, down):
+        upto = min(at + down, n)
+        # rows of one label meet what comes behind it; others whatever comes behind themselves
+        start = int(end_of[at]) if label[at] and end_of[at] >= upto else at + 1
+        for c in range(start, n, across):
+            d = min(c + across, n)
+            shape = (upto - at, d - c)
+            v, k, more = (y[: shape[0] * shape[1]].reshape(shape) for y in (x, *counts))
+            for w, column in enumerate(columns):
+                np.bitwise_xor(column[at:upto, None], column[c:d], out=v)
+                np.bitwise_count(v, out=more if w else k)
+                if w:
+                    k += more
+            hit = (k <= slack).ravel()
+            if hit.any():
+                i, j = np.divmod(np.flatnonzero(hit), shape[1])
+                i, j = i + at, j + c
+                ok = (i < j) & ((label[i] != label[j]) | (label[i] == 0))
+                yield i[ok], j[ok]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, ``least`` or more at a time, but for the last ones."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _second_level(bits: np.ndarray, block: Block, base: int) -> Iterator[np.ndarray]:
+    """Keys of rows in a large bucket, so that each pair within the group's slack that has no
+    earlier equal block has an equal key: either a later block of the group is equal too, or no
+    other block is, and then each of them differs in exactly one bit."""
+    others = [b - base for b in block.others]
+    for places in others[block.after :]:
+        yield _number(bits, places[:_KEY_BITS])
+    p, q = others[-1], others[-2] if len(others) > 1 else None
+    for i in range(len(p)):
+        key = _number(bits, np.delete(p, i)[:20])
+        if q is None:
+            yield key
+            continue
+        for j in range(len(q)):
+            yield key << 20 | _number(bits, np.delete(q, j)[:20])
+
+
+def _bucket_edges(plan: Plan, max_distance: int):
+    """Rows (key, part, members) sorted by key and part -> edges (a, b), a < b; see the module."""
+
+    def edges(key: int, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number = key >> 48
+        block = plan.blocks[number]
+        slack = plan.slack(block.group)
+        node, fp = members["node"], np.ascontiguousarray(members["fp"])
+        label = np.zeros(len(node), dtype=np.int64)
+        if len(node) >= _LEADERS * 16:
+            label, a, b = _families(fp, max_distance)
+            if len(a):
+                yield found(node[a], node[b])
+                order = np.argsort(label, kind="stable")
+                node, fp, label = node[order], fp[order], label[order]
+        low, high = plan.groups[block.group]
+        base, end = plan.bits[low][0] // 8, plan.bits[high - 1][-1] // 8 + 1
+        bits = np.unpackbits(fp.view(np.uint8)[:, base:end], axis=1)  # of the group's bytes
+        rest = np.pad(bits[:, block.rest - 8 * base], ((0, 0), (0, -len(block.rest) % 32)))
+        rest = np.ascontiguousarray(np.packbits(rest, axis=1)).view(np.uint32)
+        if len(node) <= _LARGE or not len(block.others):
+            for i, j in _gathered(_meeting(rest, label, slack)):
+                yield from verified(node, fp, number, i, j)
+            return
+        for other in _second_level(bits, block, 8 * base):
+            order = np.argsort(other, kind="stable")  # by label within a key
+            cuts = np.flatnonzero(np.diff(other[order])) + 1
+            met = ((some[i], some[j]) for some in np.split(order, cuts) if len(some) > 1 for i, j in _meeting(rest[some], label[some], slack))
+            for i, j in _gathered(met):
+                yield from verified(node, fp, number, i, j)
+
+    def verified(node: np.ndarray, fp: np.ndarray, number: int, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Those within the distance whose first group within its slack, and first equal block of it, is this one."""
+        x = fp[i] ^ fp[j]
+        near = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= max_distance)
+        if not len(near):
+            return
+        differ = np.add.reduceat(_unpacked(x[near]), [b[0] for b in plan.bits], axis=1, dtype=np.int16)
+        group = np.add.reduceat(differ, [low for low, _ in plan.groups], axis=1)
+        first = (group <= [plan.slack(g) for g in range(len(plan.groups))]).argmax(axis=1)
+        low, high = plan.groups[plan.blocks[number].group]
+        near = near[(first == plan.blocks[number].group) & (low + (differ[:, low:high] == 0).argmax(axis=1) == number)]
+        if len(near):
+            yield found(node[i[near]], node[j[near]])
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = np.stack([batch.column(c).to_numpy() for c in ("key", "node", *_WORDS)], axis=1)
-            if held and now[-1, 0] == held[0][0, 0]:  # one bucket goes on
-                held.append(now)
-                continue
-            now = np.concatenate([*held, now])
-            cut = int(np.searchsorted(now[:, 0], now[-1, 0]))  # the last bucket may go on
-            held = [now[cut:]]
-            if cut:
-                yield from edges(now[:cut, 0], now[:cut, 1], now[:cut, 2:])
+            for key, part, members in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("members")):
+                if (key, part) != at:
+                    if held:
+                        yield from edges(at[0], np.concatenate(held))
+                    at, held = (key, part), []
+                held.append(np.frombuffer(members.as_py(), _MEMBER))
         if held:
-            last = np.concatenate(held)
-            yield from edges(last[:, 0], last[:, 1], last[:, 2:])
+            yield from edges(at[0], np.concatenate(held))
 
     return run
 
 
-def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b), a < b, between nodes (node bigint, fp binary; both unique) at most
-    ``max_distance`` apart, which connect all that verified pairs of any bucket connect."""
-    blocks = plan_blocks(design_rate=max_distance / BITS)
-    longs = ", ".join(f"{w} long" for w in _WORDS)
-    rows = nodes.select("node", "fp").mapInArrow(_block_rows(blocks), f"key long, node long, {longs}")
-    met = rows.repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(_bucket_edges(max_distance), "a long, b long").distinct()
+def near_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b), a < b, between nodes (node bigint, fp binary; both unique) that connect what
+    all pairs at most ``max_distance`` apart connect, and nothing else."""
+    plan, some = plan_blocks(max_distance), nodes.select("node", "fp")
+    sizes = some.mapInArrow(_count_keys(plan), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # at most (distance + 1) * nodes / bucket_rows keys
+    hot = {r.key: -(-2 * r.n // bucket_rows) for r in sizes.where(F.col("n") > bucket_rows).collect()}
+    rows = some.mapInArrow(_block_rows(plan, hot), "key long, part long, members binary")
+    met = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return met.mapInArrow(_bucket_edges(plan, max_distance), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -231,7 +407,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def _groups(rows: DataFrame, folder: str, max_distance: int) -> DataFrame:
-    """rows (rid bigint unique, doc_id bigint, fp binary) -> (rid, doc_id, kept, kept_rid) of all rows that go."""
+    """rows (rid bigint unique, doc_id, fp binary) -> (rid, doc_id, kept, kept_rid) of all rows that go."""
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     some = rows.where(F.col("fp").isNotNull())
     nodes = settle(some.groupBy("fp").agg(F.min("rid").alias("node")), f"{folder}/nodes")
@@ -249,7 +425,7 @@ def _groups(rows: DataFrame, folder: str, max_distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, near_duplicate_of) of every row that goes, with the id of the one that stays; see the module."""
     folder = shared_dir(docs.sparkSession, "simhash")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("fp")).withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_column).alias("doc_id"), fingerprint(F.col(text)).alias("fp")).withColumn("rid", F.monotonically_increasing_id())
     rows = settle(rows, f"{folder}/fingerprints")
     return _groups(rows, folder, max_distance).select("doc_id", F.col("kept").alias("near_duplicate_of"))
 
@@ -264,25 +440,21 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "simhash")
     rid, fp = fresh(docs, "rid"), fresh(docs, "fp")
     marked = settle(docs.withColumn(fp, fingerprint(F.col(text))).withColumn(rid, F.monotonically_increasing_id()), f"{folder}/marked")
-    rows = marked.select(F.col(rid).alias("rid"), F.col(id_column).cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    rows = marked.select(F.col(rid).alias("rid"), F.col(id_column).alias("doc_id"), F.col(fp).alias("fp"))
     gone = f"{folder}/gone"
     SortedTable.write(_groups(rows, folder, max_distance).select(F.col("rid").alias("key")), gone, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return marked.where(~_listed(gone)(F.col(rid))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-_tables: dict[str, SortedTable] = {}
-
-
 def _listed(uri: str):
     @F.arrow_udf(T.BooleanType())
-    def listed(key: pa.Array) -> pa.Array:
-        if uri not in _tables:
-            _tables.clear()
-            _tables[uri] = SortedTable(uri)
-        keys = key.to_numpy(zero_copy_only=False)
-        order = np.argsort(keys, kind="stable")
-        found = np.zeros(len(keys), dtype=bool)
-        found[order] = _tables[uri].lookup(keys[order])[0]
-        return pa.array(found)
+    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = SortedTable(uri)
+        for key in batches:
+            keys = key.to_numpy(zero_copy_only=False)
+            order = np.argsort(keys, kind="stable")
+            found = np.zeros(len(keys), dtype=bool)
+            found[order] = table.lookup(keys[order])[0]
+            yield pa.array(found)
 
     return listed
