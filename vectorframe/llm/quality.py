@@ -143,18 +143,19 @@ def statistics_of(text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20000, lam: float = 0.8, gamma: float = 0.05) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", labelled_id: str = "doc_id", max_labelled: int = 20000, lam: float = 0.8, gamma: float = 0.05) -> Model | None:
     """Fit on the documents of at most ``max_labelled`` rows of ``labels``.
 
     The sample is those with the smallest hashes of their ids; its size is bounded by the
     parameter, which is why it may be broadcast to the scan of the documents.
     """
     chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), (F.col(label) > 0).alias("__good"))
+        labels.where(F.col(label).isNotNull() & F.col(labelled_id).isNotNull()).select(F.col(labelled_id).alias("__id"), (F.col(label) > 0).alias("__good"))
         .orderBy(F.xxhash64("__id"), "__id", "__good").limit(max_labelled)
     )
     found = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = found.select("__id", "__good", statistics_of("__text").alias("__x")).orderBy("__id", "__good").toPandas()
+    # sorted here: a distributed sort would take the statistics twice
+    rows = found.select("__id", "__good", statistics_of("__text").alias("__x")).toPandas().sort_values(["__id", "__good"], kind="stable")
     if not len(rows):
         return None
     return fit(np.array(rows["__x"].tolist(), dtype=float), rows["__good"].to_numpy(dtype=bool), lam, gamma)
