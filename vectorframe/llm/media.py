@@ -10,7 +10,10 @@ difference hash compares neighbours of the grey image reduced to 9 x 8: 64 bits.
 
 Defined cases. A null or undecodable value gives one row with its ``status`` and no tile; all
 other rows have status ``ok``. Images without pixels don't exist (``empty``). Samples above 8
-bits are scaled to 8. Repeated rows give repeated tiles. Extra columns don't matter.
+bits are scaled to 8; plain samples that aren't numbers from 0 to the maximum are a ``bad
+sample``. An image of more than ``max_pixels`` is ``out of range``: the bound, a parameter, is
+what a task's memory must hold. BMP of 32 bits with colour masks are read if each mask is a byte.
+Repeated rows give repeated tiles. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from vectorframe.llm.shared import filesystem, write_bytes
 
-#: Largest side after reduction, side of a tile, and most pixels of an image that is decoded.
+#: Largest side after reduction, side of a tile, and most pixels of an image that is decoded by default.
 BOX, TILE, MAX_PIXELS = 64, 32, 1 << 28
 
 
@@ -36,19 +39,20 @@ class Undecodable(ValueError):
     """Why a value is no image; the message is the row's status."""
 
 
-def _netpbm(data: bytes) -> np.ndarray:
+def _netpbm(data: bytes, max_pixels: int) -> np.ndarray:
     kind = data[1] - 48
     fields, at = [], 2
     for _ in range(2 if kind in (1, 4) else 3):
         m = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d+)").match(data, at)
         if not m:
             raise Undecodable("bad header")
-        fields.append(int(m[1]))
+        digits = m[1].lstrip(b"0") or b"0"
+        fields.append(int(digits) if len(digits) < 12 else 10**12)  # far out of range
         at = m.end()
     width, height, most = *fields[:2], fields[2] if len(fields) > 2 else 1
     if not width or not height:
         raise Undecodable("empty")
-    if width * height > MAX_PIXELS or not 0 < most < 65536:
+    if width * height > max_pixels or not 0 < most < 65536:
         raise Undecodable("out of range")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
@@ -67,10 +71,12 @@ def _netpbm(data: bytes) -> np.ndarray:
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
         out = np.frombuffer(re.sub(rb"[^01]", b"", body), np.uint8)[:n] ^ 49  # 1 is black
     else:
-        try:
-            out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.int64)
-        except ValueError:
-            raise Undecodable("bad sample") from None
+        words = re.sub(rb"#[^\n\r]*", b"", data[at:]).split(None, n)[:n]
+        if not all(w.isdigit() and len(w.lstrip(b"0")) < 6 for w in words):
+            raise Undecodable("bad sample")
+        out = np.array(words, dtype=np.int64)
+        if len(out) and out.max() > most:
+            raise Undecodable("bad sample")
     if len(out) < n:
         raise Undecodable("truncated")
     if most != 255:
@@ -78,7 +84,7 @@ def _netpbm(data: bytes) -> np.ndarray:
     return out.astype(np.uint8).reshape(height, width, channels)
 
 
-def _bmp(data: bytes) -> np.ndarray:
+def _bmp(data: bytes, max_pixels: int) -> np.ndarray:
     if len(data) < 54:
         raise Undecodable("bad header")
     start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
@@ -88,7 +94,7 @@ def _bmp(data: bytes) -> np.ndarray:
     if width <= 0 or not height:
         raise Undecodable("empty")
     rows = abs(height)
-    if width * rows > MAX_PIXELS:
+    if width * rows > max_pixels:
         raise Undecodable("out of range")
     stride = (width * bits + 31) // 32 * 4
     if len(data) < start + stride * rows:
@@ -96,7 +102,8 @@ def _bmp(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, count=stride * rows, offset=start).reshape(rows, stride)
     if bits >= 24:
         step = bits // 8
-        out = raw[:, : width * step].reshape(rows, width, step)[:, :, 2::-1]
+        out = raw[:, : width * step].reshape(rows, width, step)
+        out = out[:, :, _masked_bytes(data) if packed == 3 else [2, 1, 0]]
     else:
         n = colours or 1 << bits
         if len(data) < 14 + header + 4 * n:
@@ -108,12 +115,22 @@ def _bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(out if height < 0 else out[::-1])
 
 
-def decode(data: bytes) -> np.ndarray:
+def _masked_bytes(data: bytes) -> list[int]:
+    """Which of a pixel's four bytes are its red, green and blue."""
+    if len(data) < 66:
+        raise Undecodable("truncated")
+    masks = struct.unpack_from("<3I", data, 54)
+    if not set(masks) <= {0xFF << 8 * i for i in range(4)}:
+        raise Undecodable("unsupported")
+    return [(m.bit_length() - 1) // 8 for m in masks]
+
+
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> np.ndarray:
     """Height x width x channels (1 or 3) array of bytes."""
     if re.match(rb"P[1-6][\s#]", data):
-        return _netpbm(data)
+        return _netpbm(data, max_pixels)
     if data[:2] == b"BM":
-        return _bmp(data)
+        return _bmp(data, max_pixels)
     raise Undecodable("unknown format")
 
 
@@ -168,7 +185,7 @@ _SCHEMA = [("status", T.StringType()), ("width", T.IntegerType()), ("height", T.
 _ARROW = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def media_tiles(media: DataFrame, id_column: str = "doc_id", column: str = "media", box: int = BOX, tile: int = TILE) -> DataFrame:
+def media_tiles(media: DataFrame, id_column: str = "doc_id", column: str = "media", box: int = BOX, tile: int = TILE, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row for each tile of the images in a binary column; see the module.
 
     (id, status, width, height, channels, image_hash, tile_row, tile_column, tile_hash, tile):
@@ -185,7 +202,7 @@ def media_tiles(media: DataFrame, id_column: str = "doc_id", column: str = "medi
                     try:
                         if not value.is_valid:
                             raise Undecodable("null")
-                        image = decode(value.as_buffer().to_pybytes())
+                        image = decode(value.as_buffer().to_pybytes(), max_pixels)
                     except Undecodable as why:
                         rows.append(n)
                         out.append((str(why), *[None] * 8))
