@@ -129,11 +129,21 @@ def fit(counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray], smoothing
 
 
 def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    low = pc.utf8_lower(text)
-    data, offsets = text_bytes(low)
+    """Lower-case bytes of texts, their offsets, and start, end and row of each word in them."""
+    data, offsets = text_bytes(pc.utf8_lower(text))
     return data, offsets, *word_spans(data, offsets, _LETTER)
 
 
+def _given_places(text: pa.Array, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places in lower-case bytes as places in the given bytes; letters keep their order and number."""
+    given, _ = text_bytes(text)
+    if len(given) == len(data) and np.array_equal((given & 0xC0) == 0x80, (data & 0xC0) == 0x80):
+        return places
+    head = np.append((data & 0xC0) != 0x80, True)
+    character = np.cumsum(head)[places] - 1  # places are where characters begin, or the end
+    return np.append(np.flatnonzero((given & 0xC0) != 0x80), len(given))[character]
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", max_labelled: int = 500) -> Model:
     """Fit on at most ``max_labelled`` labelled documents of each language."""
     order = Window.partitionBy("lang").orderBy("h", "id")
@@ -183,7 +193,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
     move = np.full((labels, labels), -penalty)
     np.fill_diagonal(move, 0.0)
     longest = int(size.max())
-    back = np.zeros((longest, m, labels, labels), dtype=np.int8)
+    kind = np.min_scalar_type(labels)
+    back = np.zeros((longest, m, labels, labels), dtype=kind)
     best = np.broadcast_to(np.where(np.eye(labels, dtype=bool), 0.0, _NEVER * 1e3), (m, labels, labels)).copy()
     for i in range(longest):
         live = np.flatnonzero(size > i)
@@ -195,7 +206,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
         best[live] = np.where(stay, now, change) + scores[start[live] + i][:, None, :]
     # chain the blocks of each text
     first_block = np.cumsum(blocks) - blocks
-    come = np.zeros((m, labels), dtype=np.int8)  # label before the block, for each label at its end
+    come = np.zeros((m, labels), dtype=kind)  # label before the block, for each label at its end
     value = np.zeros((len(lengths), labels))
     for k in range(int(blocks.max())):
         t = np.flatnonzero(blocks > k)
@@ -255,7 +266,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", switch_penalty: float = SWITCH_PENALTY) -> DataFrame:
     """(doc_id, lang, share, spans) of every row: the label of most letters' bytes with its share
-    of them, and the spans as byte positions in the lower-case text, from a first word to a last."""
+    of them, and the spans as byte positions in the text, from a first word to a last."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     names = np.array(model.labels, dtype=object)
 
@@ -273,8 +284,10 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
                 first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(found, prepend=-1) != 0)) if len(row) else np.zeros(0, np.int64)
                 last = np.append(first[1:], len(row)) - 1 if len(first) else first
                 bounds = np.searchsorted(row[first], np.arange(n + 1)) if len(first) else np.zeros(n + 1, np.int64)
-                of = offsets[row[first]] if len(first) else first
-                spans = pa.StructArray.from_arrays([pa.array(start[first] - of), pa.array(end[last] - of), pa.array(names[found[first]], pa.string())], ["start", "end", "lang"])
+                column = piece.column("text")
+                of = text_bytes(column)[1][row[first]] if len(first) else first
+                begin, stop = (_given_places(column, data, x) if len(first) else first for x in (start[first], end[last]))
+                spans = pa.StructArray.from_arrays([pa.array(begin - of), pa.array(stop - of), pa.array(names[found[first]], pa.string())], ["start", "end", "lang"])
                 yield pa.record_batch([
                     piece.column("doc_id"), pa.array(names[top], pa.string(), mask=none),
                     pa.array(np.divide(size.max(axis=1, initial=0), total, out=np.zeros(n), where=total > 0), mask=none), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans),
