@@ -89,6 +89,13 @@ def test_bank_accounts_of_any_country(account):
     assert [f[3:] for f in scanner.scan(text) if f[0] == "bank_account"] == [(account, True), (spaced, True), (wrong, False)]
 
 
+def test_cards_with_spaces_or_dashes():
+    scanner = secret_scan.Scanner()
+    text = "4111 1111 1111 1111, 5500-0000-0000-0004; 3782 822463 10005 but 4111 1111-1111 1111 and 4111 1111 1111 1112"
+    assert scanner.scan(text) == brute(text)
+    assert [f[3:] for f in scanner.scan(text) if f[0] == "payment_card"] == [("4111 1111 1111 1111", True), ("5500-0000-0000-0004", True), ("3782 822463 10005", True), ("4111 1111 1111 1112", False)]
+
+
 def test_long_secrets_are_whole():
     scanner = secret_scan.Scanner()
     for rule, before, secret, after in (("assigned_secret", "token = '", "aB3." * 200, "'"), ("api_key_live", "", "rk_live_" + "x7" * 300, ""), ("chat_token", "", "xoxp-" + "12-ab" * 100, "")):
@@ -146,12 +153,25 @@ def test_formats(data, want):
     assert got.dtype == np.uint8 and got.shape == want.shape and (got == want).all()
 
 
-@pytest.mark.parametrize("data", [b"", b"P9 1 1", b"P5 0 3 255\n", b"P5 7 5 255\nxx", b"P5 7", b"P5 7 5 70000\n", b"P3 2 2 255\n1 2 x", b"BM123", bmp(COLOUR, 24)[:-9], b"\xff\xd8\xff", b"P5 99999999 99999999 255\n"])
+@pytest.mark.parametrize("data", [b"", b"P9 1 1", b"P5 0 3 255\n", b"P5 7 5 255\nxx", b"P5 7", b"P5 7 5 70000\n", b"P3 2 2 255\n1 2 x", b"BM123", bmp(COLOUR, 24)[:-9], b"\xff\xd8\xff", b"P5 99999999 99999999 255\n", b"P5 " + b"9" * 5000 + b" 1 255\n1", b"P2 1 1 255 " + b"9" * 23, b"P2 1 1 255 -5", b"P2 1 1 255 256", b"P2 1 1 255 1_0"])
 def test_undecodable(data):
     with pytest.raises(media.Undecodable):
         media.decode(data)
 
 
+def test_masks_and_limits():
+    masked = bytearray(bmp(COLOUR, 32))
+    masked[30:34], body = struct.pack("<I", 3), masked[54:]
+    masked[10:14] = struct.pack("<I", 66)
+    rgb = bytes(masked[:54]) + struct.pack("<3I", 0xFF, 0xFF00, 0xFF0000) + bytes(body)
+    assert (media.decode(rgb) == COLOUR[:, :, ::-1]).all()
+    with pytest.raises(media.Undecodable, match="unsupported"):
+        media.decode(bytes(masked[:54]) + struct.pack("<3I", 0x3FF, 0xFF00, 0xFF0000) + bytes(body))
+    with pytest.raises(media.Undecodable, match="out of range"):
+        media.decode(b"P5 7 5 255\n" + GREY.tobytes(), max_pixels=34)
+    assert (media.decode(b"P5 0007 5 255\n" + GREY.tobytes()) == GREY).all()
+
+
 def brute_resize(image, height, width):
     h, w, c = image.shape
     out = np.zeros((height, width, c))

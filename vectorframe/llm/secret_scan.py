@@ -84,6 +84,8 @@ class Rule:
 _END = r"(?![A-Za-z0-9_])"
 #: Account numbers of any country: two letters and a digit.
 _IBAN = tuple(f"{a}{b}{d}" for a in string.ascii_uppercase for b in string.ascii_uppercase for d in string.digits)
+#: The first four digits of cards with four groups of four.
+_CARD = r"(?:4\d{3}|5[1-5]\d\d|6011|65\d\d)"
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, crc62),
     Rule("registry_token", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, crc62),
@@ -98,7 +100,7 @@ RULES = (
         r"(?:token|secret|password|passwd|api_?key|access_key)[A-Za-z_]{0,20}['\"]?\s{0,4}(?::=|=>|=|:)\s{0,4}['\"]([A-Za-z0-9+/=_\-.]{16,})['\"]",
         any_case=True,
     ),
-    Rule("payment_card", tuple(f"{d}{e}" for d in "3456" for e in "0123456789"), r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]\d|\d)", luhn),
+    Rule("payment_card", tuple(f"{d}{e}" for d in "3456" for e in "0123456789"), rf"(?<![\d.])(?:4\d{{15}}|5[1-5]\d{{14}}|3[47]\d{{13}}|6(?:011|5\d\d)\d{{12}}|{_CARD}(?:(?: \d{{4}}){{3}}|(?:-\d{{4}}){{3}})|3[47]\d\d(?: \d{{6}} |-\d{{6}}-)\d{{5}})(?![\d.]\d|\d)", luhn),
     Rule("bank_account", _IBAN, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97),
 )
 
