@@ -139,6 +139,21 @@ def test_overlaps_widen():
     assert widened > 0 and n == len(_library().encode_ordinary(text))
 
 
+@pytest.mark.parametrize("text", ["Это обычный текст, и в нём много слов. " * 3000, "Où est né l'été à Évian? C'était là-bas. " * 3000, "漢字文章、全部漢字。" * 4000, "漢字 текст l'été 42 " * 4000], ids=["cyrillic", "french", "han", "mixed"])
+def test_overlaps_agree_in_any_script(text):
+    n, chunks, widened = count(text, token_counts.CHUNK_BYTES, token_counts.OVERLAP_BYTES)
+    assert n == len(_library().encode_ordinary(text)) and widened == 0 and chunks <= len(text.encode()) // token_counts.CHUNK_BYTES + 3
+
+
+def test_an_endless_word_is_encoded_once(monkeypatch):
+    text = "some words, " * 4000 + "漢" * 30_000 + ". and words " * 4000
+    done = []
+    encode = token_counts._encode
+    monkeypatch.setattr(token_counts, "_encode", lambda t, data: done.append(len(data)) or encode(t, data))
+    n, _, widened = count(text, token_counts.CHUNK_BYTES, token_counts.OVERLAP_BYTES)
+    assert n == len(_library().encode_ordinary(text)) and widened <= 8 and sum(done) <= 1.5 * len(text.encode())
+
+
 def test_token_counts(odd, nothing):
     lib, want = _library(), {}
     rows = odd.select("doc_id", "text").collect()

@@ -41,6 +41,8 @@ from vectorframe.llm.shared import pieces, span_hashes, text_bytes
 CACHE_WORDS = 400_000
 
 _O, _L, _N, _S = 0, 1, 2, 3
+#: Class of white space.
+WHITE = _S
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -56,6 +58,13 @@ def _character_classes() -> np.ndarray:
 _classes: list[np.ndarray] = []
 
 
+def character_classes() -> np.ndarray:
+    """Class of each code point: letter, digit, white space or other."""
+    if not _classes:
+        _classes.append(_character_classes())
+    return _classes[0]
+
+
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the words of UTF-8 texts, as byte positions in ``data``.
 
@@ -63,14 +72,12 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     digits or other characters, each with one leading space if there is one; white space
     up to but not including its last character before something else; white space.
     """
-    if not _classes:
-        _classes.append(_character_classes())
     if not len(data):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
     lead = np.flatnonzero((data & 0xC0) != 0x80)  # byte position of each character
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    kind = _classes[0][points]
+    kind = character_classes()[points]
     n = len(points)
     edge = np.zeros(n + 1, dtype=bool)  # texts begin and end here
     edge[np.searchsorted(lead, offsets)] = True

@@ -6,15 +6,18 @@ the whole text, as it begins in mid-word, and so may its last ones. Two neighbou
 spliced at a byte position in their overlap that is
 
 * a token boundary in both encodings, and
-* a proven boundary of the split pattern: between a character that isn't white space and a
-  space that another such character follows. The pattern never matches across such a place,
-  wherever matching began, so what is left of it and what is right of it are encoded
-  independently of each other; a margin to the left chunk's end rules out that its last word
-  is cut off.
-
-If the overlap has no such place, it is doubled, up to the whole of both neighbours; then
-they are encoded as one. The count is the left chunk's tokens before the place and the right
-chunk's after it. It equals that of encoding the whole text.
+* a proven boundary of the split pattern: between two characters of different classes (letter,
+  digit, white space, other) of which the first isn't white space and neither is an apostrophe or
+  a letter near one, or between a character that isn't white space and a single space that
+  another such character follows. The pattern never matches across such a place, wherever
+  matching began, so what is left of it and what is right of it are encoded independently of
+  each other; a margin to the left chunk's end rules out that its last word is cut off.
+
+If the overlap has no such place, it is doubled, four times at most: a word longer than that
+isn't cut at all. The left chunk then goes on to the next proven boundary of the text, which is
+searched forward without encoding anything, so an endless word is encoded once. The count is the
+left chunk's tokens before the place and the right chunk's after it. It equals that of encoding
+the whole text.
 
 Defined cases. A null text has a null count, the empty text 0. Rows are independent: repeats,
 ties and extra columns don't matter. A text without any such place (one endless word) is
@@ -31,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorframe.llm.bpe import Tokenizer, tokenizer
+from vectorframe.llm.bpe import WHITE, Tokenizer, character_classes, tokenizer
 from vectorframe.llm.shared import pieces, text_bytes
 
 #: Bytes of a chunk, of the first overlap, and left out at a chunk's end.
 CHUNK_BYTES, OVERLAP_BYTES, MARGIN_BYTES = 32 << 10, 256, 16
+#: Overlaps tried before a word is taken to be endless, and how far an apostrophe's rules reach.
+_TRIES, _REACH = 4, 4
 
 
 def _fit(data: np.ndarray, at: int) -> int:
@@ -51,10 +56,38 @@ def _encode(t: Tokenizer, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stable(data: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Proven boundaries in [low, high): positions of a single space between visible ASCII characters."""
-    at = np.arange(max(low, 1), min(high, len(data) - 1))
-    visible = (data > 32) & (data < 127)
-    return at[(data[at] == 32) & visible[at - 1] & visible[at + 1]]
+    """Proven boundaries in [low, high), as byte positions; see the module."""
+    low, high = _fit(data, max(low, 1)), _fit(data, min(high, len(data) - 1))
+    begin = low
+    for _ in range(_REACH):  # characters before and after, to see apostrophes by
+        begin = _fit(data, max(begin - 1, 0))
+    end = min(high + 4 * _REACH, len(data))
+    end = _fit(data, end) if end < len(data) else end
+    part = data[begin:end]
+    if high <= low or not len(part):
+        return np.zeros(0, np.int64)
+    lead = np.flatnonzero((part & 0xC0) != 0x80)
+    points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    kind = character_classes()[points]
+    quote = points == 39
+    near = quote.copy()  # an apostrophe, or up to three characters behind one
+    for k in range(1, _REACH):
+        near[k:] |= quote[:-k]
+    left, right = kind[:-1], kind[1:]
+    word = (left != right) & (left != WHITE) & (right != WHITE) & ~near[:-1] & ~near[1:]
+    after = np.append(kind[2:], WHITE)  # the class behind the character on the right
+    space = (left != WHITE) & (points[1:] == 32) & (after != WHITE) & ~near[:-1]
+    at = lead[1:][word | space] + begin
+    return at[(at >= low) & (at < high)]
+
+
+def _next_stable(data: np.ndarray, at: int, window: int = 4096) -> int:
+    """The first proven boundary from ``at`` on, or the end of the text."""
+    while at < len(data):
+        if len(found := _stable(data, at, at + window)):
+            return int(found[0])
+        at, window = at + window, 2 * window
+    return len(data)
 
 
 def count_tokens(t: Tokenizer, data: np.ndarray, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> tuple[int, int, int]:
@@ -62,29 +95,40 @@ def count_tokens(t: Tokenizer, data: np.ndarray, chunk: int = CHUNK_BYTES, overl
     if len(data) <= chunk:
         return len(_encode(t, data)[0]), 1, 0
     total, chunks, widened = 0, 1, 0
-    begin, end = 0, _fit(data, chunk)  # the chunk in hand, and where its share of the text begins
-    share = 0
+    begin = share = 0  # of the chunk in hand, and where its share of the text begins
+    end = _fit(data, chunk)
     ids, ends = _encode(t, data[begin:end])
     while end < len(data):
-        back = overlap
-        while True:
+        both, back = np.zeros(0, np.int64), overlap
+        for tries in range(_TRIES):
             start = _fit(data, max(end - back, share))
-            stop = _fit(data, min(start + max(chunk, 2 * back), len(data)))
-            if start <= share:  # nothing left to widen into: both as one chunk
-                ids, ends = _encode(t, data[share:stop])
-                begin, end, chunks = share, stop, chunks + 1
-                break
-            more, more_ends = _encode(t, data[start:stop])
-            chunks += 1
             # a place counts if the right chunk knows what comes before it and the left what comes after
             places = _stable(data, start + 1, end - MARGIN_BYTES)
-            both = places[np.isin(places - begin, ends) & np.isin(places - start, more_ends)]
-            if len(both):
-                cut = int(both[len(both) // 2])
-                total += int(np.searchsorted(ends, cut - begin, side="right") - np.searchsorted(ends, share - begin, side="right"))
-                ids, ends, begin, end, share = more, more_ends, start, stop, cut
+            if len(places := places[np.isin(places - begin, ends)]):
+                stop = _fit(data, min(start + max(chunk, 2 * back), len(data)))
+                more, more_ends = _encode(t, data[start:stop])
+                chunks += 1
+                if len(both := places[np.isin(places - start, more_ends)]):
+                    break
+            widened += 1
+            back *= 2
+            if start <= share:
                 break
-            back, widened = back * 2, widened + 1
+        if len(both):
+            cut = int(both[len(both) // 2])
+            total += int(np.searchsorted(ends, cut - begin, side="right") - np.searchsorted(ends, share - begin, side="right"))
+            ids, ends, begin, end, share = more, more_ends, start, stop, cut
+            continue
+        # one word fills the overlap: the chunk in hand goes on to where that word has ended
+        begin, end = share, _next_stable(data, end)
+        ids, ends = _encode(t, data[begin:end])
+        chunks += 1
+        if end < len(data):
+            total += len(ids)
+            begin = share = end
+            end = _fit(data, min(begin + chunk, len(data)))
+            ids, ends = _encode(t, data[begin:end])
+            chunks += 1
     return total + len(ends) - int(np.searchsorted(ends, share - begin, side="right")), chunks, widened
 
 
