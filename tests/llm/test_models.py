@@ -105,8 +105,18 @@ def test_mixed_text(spark, docs, languages):
     r = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), languages).first()
     spans = [(s.lang, s.start, s.end) for s in r.spans]
     assert spans[-1][0] == "script:cyrillic" and {"en", "de"} <= {s[0] for s in spans} and len(spans) <= 6
-    low = text.lower().encode()
-    assert low[spans[-1][1] : spans[-1][2]].decode().strip() == "это русский язык и еще слова"
+    raw = text.encode()
+    assert raw[spans[-1][1] : spans[-1][2]].decode().strip() == "это русский язык и еще слова"
+    # lower-casing changes how many bytes letters have: places are those of the given text
+    given = f"\u2c6f\u2c62\u1e9e {text}"
+    r = langid.identify(spark.createDataFrame([(0, "x"), (1, given)], "doc_id long, text string").repartition(1), languages).where("doc_id = 1").first()
+    assert given.encode()[r.spans[-1].start : r.spans[-1].end].decode() == "это русский язык и еще слова"
+
+
+def test_viterbi_of_many_labels():
+    scores = np.zeros((3, 200))
+    scores[:, 150] = 1.0
+    assert langid.viterbi(scores, np.array([3])).tolist() == [150, 150, 150]
 
 
 def test_language_odd_rows(odd, nothing, languages):
@@ -130,14 +140,15 @@ def test_rake_against_marginals():
     codes = [rng.integers(0, k, 60) for k in (4, 3, 2)]
     mass = rng.random(60)
     targets = [np.array(t) for t in ([0.1, 0.2, 0.3, 0.4], [0.5, 0.25, 0.25], [0.7, 0.3])]
-    out = mixing.rake(mass / mass.sum(), codes, targets)
+    out, worst = mixing.rake(mass / mass.sum(), codes, targets)
+    assert worst <= mixing.TOLERANCE
     for c, t in zip(codes, targets):
         np.testing.assert_allclose(np.bincount(c, weights=out), t, atol=1e-8)
 
 
 def test_probabilities_reach_the_targets(spark, docs):
     targets = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}
-    measured, names, words = mixing._measured(docs, "text", [F.col("source"), F.col("lang")], None)
+    measured, names, words = mixing._measured(docs, "text", [F.col("source"), F.col("lang")], None, None)
     cells = measured.groupBy(*names).agg(F.sum(words).alias("tokens")).toDF("source", "lang", "topic", "tokens").cache()
     here = {(r.source, r.lang, r.topic): r for r in mixing.cell_probabilities(cells, targets).collect()}
     mass, total = Counter(), 0.0
@@ -157,6 +168,32 @@ def test_raking_as_a_table_gives_the_same(spark):
     assert one == two and len(one) == 5
 
 
+def test_a_table_that_takes_many_rounds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, x, t, int(rng.integers(1, 900) * (1 + (s == x)) ** 3)) for s in "abc" for x in "abc" for t in "tu"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"lang": {"a": 0.5, "b": 0.3, "c": 0.2}, "source": {"a": 0.2, "b": 0.2, "c": 0.6}}
+    one, two = ({(r.source, r.lang, r.topic): (r.wanted, r.probability) for r in mixing.cell_probabilities(cells, targets, driver_cells=n).collect()} for n in (100, 0))
+    assert all(np.allclose(one[k], two[k], atol=1e-7) for k in one) and len(one) == 18
+
+
+def test_contradictory_targets_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 50), ("b", "y", "t", 50)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.8, "b": 0.2}, "lang": {"x": 0.2, "y": 0.8}}
+    for n in (100, 0):
+        with pytest.warns(UserWarning, match="marginals differ"):
+            rows = mixing.cell_probabilities(cells, targets, driver_cells=n, rounds=5).collect()
+        assert all(r.marginal_error == pytest.approx(0.6) for r in rows)
+
+
+def test_many_categories_and_own_counts(spark):
+    cells = spark.range(20_000).selectExpr("cast(id as string) source", "'en' lang", "'t' topic", "id + 1 tokens")
+    assert mixing.cell_probabilities(cells).count() == 20_000
+    df = spark.range(40).selectExpr("id doc_id", "'same text' text", "'s' source", "'en' lang", "id n", "id % 2 kind")
+    got = mixing.mix(df, {"topic": {"0": 0.5, "1": 0.5}}, topic=F.col("kind"), counts=F.col("n")).collect()
+    assert got and all(r.tokens == r.doc_id for r in got) and {round(r.probability, 3) for r in got} == {1.0, 0.95} - ({0.95} if all(r.doc_id % 2 == 0 for r in got) else set())
+
+
 def test_sampling(spark, docs):
     got = mixing.mix(docs).collect()
     p = {r.doc_id: r.probability for r in got}
