@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorframe.llm import bpe, exact_dedup, langid, lm, media, mixing, quality, secret_scan, simhash, token_counts
+from vectorframe.llm.shared import small_batches
 
 #: Rank file that the queries encode with; the operators take any.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes worked on at once in a Python worker; a longer document is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- shared folder
@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have rows with whole texts go to Python a few megabytes at a time, if the session still has
+    the usual number of rows; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow file system and path of a URI (plain paths are local; s3a is read as s3)."""
     if "://" not in uri and not uri.startswith("file:"):
