@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+Defined cases. Documents without words are rejected by the first stage, so null, empty and blank
+texts don't reach the others. Repeated rows and ties leave one row, with the smallest id. An empty
+table stays empty through all stages. Extra columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectorframe.llm import bpe, exact_dedup, mixing, quality, simhash
 from vectorframe.llm.queries import RANKS
-from vectorframe.llm.shared import settle, shared_dir
+from vectorframe.llm.shared import settle, shared_dir, small_batches
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (operator 6), fitted on the labelled ones among them."""
+    small_batches(spark)
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
