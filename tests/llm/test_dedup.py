@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectorframe.llm import exact_dedup, queries, simhash
+from vectorframe.llm import exact_dedup, quality, queries, simhash
 from vectorframe.llm.shared import SortedTable, shared_dir
 
 
@@ -189,6 +189,15 @@ def flipped(fp, places):
     return np.packbits(bits).view(np.uint64)
 
 
+def test_fingerprints_do_not_depend_on_neighbours():
+    """One-letter words in rows whose numbers are those letters' codes."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [" ".join((letters[i % 36 :] + letters)[:20] * 2) for i in range(260)]
+    together, alone = simhash.fingerprints(pa.array(texts))[0], np.concatenate([simhash.fingerprints(pa.array([t]))[0] for t in texts])
+    assert (together == alone).all()
+    np.testing.assert_array_equal(quality.statistics(pa.array(texts)), np.concatenate([quality.statistics(pa.array([t])) for t in texts]))
+
+
 @pytest.mark.parametrize("distance", [0, 1, 7, 41, 48, 255])
 def test_close_pairs_share_a_block(distance):
     plan = simhash.plan_blocks(distance)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorframe.llm.shared import fresh, mix64, pieces, row_sums, span_hashes, text_bytes, word_spans
+from vectorframe.llm.shared import fresh, pieces, row_keys, row_sums, span_hashes, text_bytes, word_spans
 
 STATISTICS = (
     "log_bytes", "letters", "upper", "digits", "spaces", "symbols", "punctuation", "log_word", "word_spread",
@@ -71,7 +71,7 @@ def statistics(text: pa.Array) -> np.ndarray:
     spread = np.sqrt(np.maximum(row_sums(length**2, row, n) / np.maximum(words, 1) - mean**2, 0))
     h = span_hashes(data, start, end)
     # distinct (row, word): the first of each run of equal words, counted in its row
-    order = np.argsort(mix64(h + mix64(row.astype(np.uint64))))
+    order = np.argsort(row_keys(h, row))
     hs, rs = h[order], row[order]
     first = np.ones(len(hs), dtype=bool)
     first[1:] = (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])

@@ -203,6 +203,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def row_keys(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sort keys that bring equal (row, hash) side by side. The rows' part is moved away from the
+    hashes of short words, which are ``mix64`` of small numbers too."""
+    return mix64(h + mix64(row.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03)))
+
+
 #: True for bytes inside words: ASCII letters and digits, and all bytes of other letters.
 WORD_BYTE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 

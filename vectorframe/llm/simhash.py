@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorframe.llm.shared import SortedTable, fresh, mix64, pieces, settle, shared_dir, span_hashes, text_bytes, word_spans
+from vectorframe.llm.shared import SortedTable, fresh, mix64, pieces, row_keys, settle, shared_dir, span_hashes, text_bytes, word_spans
 
 BITS = 256
 #: Differing bits of 256 that still make a near duplicate. Of pairs of documents that share 0.85
@@ -67,7 +67,7 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return out, some
     h = span_hashes(data, start, end)
-    order = np.argsort(mix64(h + mix64(row.astype(np.uint64))))  # equal (row, word) side by side
+    order = np.argsort(row_keys(h, row))  # equal (row, word) side by side
     h, row, size = h[order], row[order], (end - start)[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
