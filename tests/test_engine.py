@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorframe import Api, Engine
-from vectorframe.errors import EngineError, InvalidExpr, InvalidName, InvalidPayload, InvalidRecord, NotFound, TableExists, TableNotFound
+from vectorframe.errors import Conflict, EngineError, InvalidExpr, InvalidName, InvalidPayload, InvalidRecord, NotFound, NotLeader, TableExists, TableNotFound
 from vectorframe.functions import embed, metrics
 from vectorframe.operators import ann
 from vectorframe.operators.facets import facet
@@ -315,3 +315,33 @@ def test_stream_is_taken_once(engine, spark, tmp_path):
     df.write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == 100
     assert engine.batch_done("db", "s", str(tmp_path / "checkpoint"), 1)
+
+
+def test_two_engines_on_a_folder(spark, tmp_path):
+    """A follower sees what the leader commits and doesn't write; of two writers none loses rows; readers outlive a rebuild."""
+    path = f"{tmp_path}/two"
+    lead, follow = Engine(spark), Engine(spark)
+    lead.load_db("db", path)
+    lead.create_table("db", payload("t", id="INT key", v="VECTOR_FLOAT 2"))
+    follow.set_leader(False)
+    follow.load_db("db", path)
+    row = lambda i: {"id": i, "v": [float(i), 1.0]}
+    lead.insert("db", "t", [row(1)])
+    assert [r.id for r in follow.get("db", "t").collect()] == [1]
+    for write in (lambda: follow.insert("db", "t", [row(2)]), lambda: follow.delete("db", "t", [1]), lambda: follow.rebuild("db")):
+        with pytest.raises(NotLeader):
+            write()
+    other = Engine(spark)
+    other.load_db("db", path)
+    other.insert("db", "t", [row(3)])
+    lead.insert("db", "t", [row(4)])  # takes up what the other has committed first
+    assert sorted(r.id for r in follow.get("db", "t").collect()) == [1, 3, 4]
+    stale = other.databases["db"]
+    with pytest.raises(Conflict):
+        stale.commit()
+    before = lead.get("db", "t")
+    lead.rebuild("db", "t")
+    assert sorted(r.id for r in before.collect()) == [1, 3, 4]
+    fresh = Engine(spark)
+    fresh.load_db("again", path)
+    assert sorted(r.id for r in fresh.get("again", "t").collect()) == [1, 3, 4]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorframe import schema
-from vectorframe.errors import DatabaseExists, EngineError, InvalidName, InvalidPayload
+from vectorframe.errors import Conflict, DatabaseExists, EngineError, InvalidName, InvalidPayload, NotLeader
 from vectorframe.functions import embed, metrics
 from vectorframe.operators import ann, mutate, search
 from vectorframe.operators.facets import facet
@@ -60,13 +60,15 @@ class Engine:
         if name in self.databases or path.rstrip("/") in {d.path for d in self.databases.values()}:
             raise DatabaseExists(f"database exists already: {name}")
         db = self.databases[name] = Database(self.spark, name, path, wal_enabled)
-        for s in db.tables.values():
+        for s in db.tables.values() if self.leader else ():
             for number, kind, payload in list(db.log(s).after(s.wal_id)):
                 try:
                     if kind == "DELETE":
                         self._delete(db, s, payload.get("primaryKeys"), payload.get("filter", ""), number)
                     else:
                         self._insert(db, s, payload, kind == "UPSERT", headers or {}, number)
+                except Conflict:
+                    raise
                 except EngineError:  # it failed when it was logged, too
                     s.wal_id = number
                     db.commit()
@@ -87,6 +89,7 @@ class Engine:
     # ------------------------------------------------------------ tables
 
     def create_table(self, database: str, payload: dict) -> int:
+        self._may_write()
         table = schema.parse_table(payload, self.registry.models)
         return require(self.databases, database).create(table).table.id
 
@@ -104,10 +107,19 @@ class Engine:
         db = require(self.databases, database)
         return [{"tableName": n, "totalRecords": db.tables[n].rows} for n in sorted(db.tables)]
 
-    def _open(self, database: str, table: str) -> tuple[Database, Stored]:
+    def _open(self, database: str, table: str, write: bool = False) -> tuple[Database, Stored]:
+        """A table; a follower sees what the leader has committed, and can't write."""
         db = require(self.databases, database)
+        if write:
+            self._may_write()
+        elif not self.leader:
+            db.refresh()
         return db, db.get(table)
 
+    def _may_write(self) -> None:
+        if not self.leader:
+            raise NotLeader("a follower doesn't write; ask the leader")
+
     def table(self, database: str, table: str) -> DataFrame:
         """Live rows as a DataFrame, with their ids."""
         db, s = self._open(database, table)
@@ -116,10 +128,11 @@ class Engine:
     # ------------------------------------------------------------ mutations
 
     def insert(self, database: str, table: str, records: list[dict], upsert: bool = False, headers: dict | None = None) -> dict:
-        db, s = self._open(database, table)
+        db, s = self._open(database, table, True)
+        db.refresh()
+        s = db.get(table)
         number = s.wal_id + 1
-        if self.leader:
-            db.log(s).append(number, "UPSERT" if upsert else "INSERT", records)
+        db.log(s).append(number, "UPSERT" if upsert else "INSERT", records)
         return self._insert(db, s, records, upsert, headers or {}, number)
 
     def _insert(self, db: Database, s: Stored, records: list[dict], upsert: bool, headers: dict, number: int) -> dict:
@@ -129,7 +142,7 @@ class Engine:
 
     def insert_frame(self, database: str, table: str, rows: DataFrame, upsert: bool = False, headers: dict | None = None, batch: tuple[str, int] | None = None) -> dict:
         """Bulk form: rows with the table's columns, checked and added in the JVM; no log entry."""
-        db, s = self._open(database, table)
+        db, s = self._open(database, table, True)
         return {"inserted": self._add(db, s, mutate.checked(rows, s.table), upsert, headers or {}, s.wal_id, batch)}
 
     def batch_done(self, database: str, table: str, stream: str, number: int) -> bool:
@@ -163,11 +176,12 @@ class Engine:
         return mutate.prepare(db.read(s), s.table, keys)
 
     def delete(self, database: str, table: str, keys: list | None = None, filter: str = "") -> dict:
-        db, s = self._open(database, table)
+        db, s = self._open(database, table, True)
+        db.refresh()
+        s = db.get(table)
         mutate.deleted(db.read(s), s.table, keys, filter)  # fails before it is logged
         number = s.wal_id + 1
-        if self.leader:
-            db.log(s).append(number, "DELETE", {"primaryKeys": keys, "filter": filter})
+        db.log(s).append(number, "DELETE", {"primaryKeys": keys, "filter": filter})
         return self._delete(db, s, keys, filter, number)
 
     def _delete(self, db: Database, s: Stored, keys: list | None, filter: str, number: int) -> dict:
@@ -228,8 +242,10 @@ class Engine:
 
     def rebuild(self, database: str, table: str | None = None) -> None:
         """Fold each table into one segment and file its dense vectors by cells, where rows changed."""
+        self._may_write()
         db = require(self.databases, database)
-        for s in [db.get(table)] if table else db.tables.values():
+        db.refresh()
+        for s in [db.get(table)] if table else list(db.tables.values()):
             changed = db.rebuild(s)
             for f in s.table.vectors():
                 if f.type in schema.DENSE and s.rows >= self.config.min_graph_size and (changed or f.name not in s.ann):

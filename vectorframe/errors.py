@@ -49,3 +49,11 @@ class TableExists(EngineError):
 
 class Unsupported(EngineError):
     code = 50002
+
+
+class Conflict(EngineError):
+    """Another writer has committed first."""
+
+
+class NotLeader(EngineError):
+    """A follower was asked to write."""

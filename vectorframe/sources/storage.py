@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -46,6 +47,45 @@ def replace_text(uri: str, text: str) -> None:
     fs.move(temporary, path)
 
 
+def create_text(uri: str, text: str) -> bool:
+    """Write a file whole, unless it is there already: of several writers one succeeds.
+
+    On a local file system a hard link decides; elsewhere, whoever looks first (object stores with
+    one writer at a time, as the leader rule has it).
+    """
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as out:
+        out.write(text.encode())
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            os.link(temporary, path)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete_file(temporary)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(temporary)
+        return False
+    fs.move(temporary, path)
+    return True
+
+
+def remove_file(uri: str) -> None:
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.File:
+        fs.delete_file(path)
+
+
+def copy_tree(source: str, target: str) -> None:
+    """Copy a folder, file by file."""
+    (fs, path), (to, where) = filesystem(source), filesystem(target)
+    to.create_dir(where, recursive=True)
+    pafs.copy_files(path, where, source_filesystem=fs, destination_filesystem=to)
+
+
 def listed(uri: str) -> list[str]:
     """Names of the files in a folder, sorted; none if there is no folder."""
     fs, path = filesystem(uri)
