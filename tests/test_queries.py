@@ -37,6 +37,22 @@ def test_against_sql(spark, sf_dir, duck, name):
             assert a[c].tolist() == b[c].tolist(), c
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["equal", "less", "greater_equal", "and", "in"])
+def test_filters_reach_the_scan(spark, sf_dir, name):
+    plan = plan_of(QUERIES[f"filter_{name}"](spark, sf_dir))
+    assert "Exchange" not in plan and "Sort" not in plan and "PushedFilters: []" not in plan and "DataFilters: []" not in plan
+
+
+def test_distance_filters_evaluate_once(spark, sf_dir):
+    for name in ("knn_distance_filter", "knn_distance_scope"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert plan.count("ArrowEvalPython") == 1 and "TakeOrdered" not in plan and "Exchange" not in plan
+
+
 def test_approximate_recall(spark, sf_dir):
     near = {r.vec_id for r in QUERIES["knn_approximate"](spark, sf_dir).collect()}
     exact = {r.vec_id for r in QUERIES["knn_euclidean"](spark, sf_dir).collect()}

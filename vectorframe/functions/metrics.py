@@ -50,7 +50,7 @@ def dense_hof(v: Column, query: list[float], metric: str) -> Column:
     return F.lit(1.0) - dot if metric == "COSINE" else -dot
 
 
-def dense_arrow(v: Column, query: list[float], metric: str) -> Column:
+def dense_arrow(v: Column, query: list[float], metric: str, once: bool = False) -> Column:
     q = np.asarray(query, dtype=np.float64)
 
     @F.arrow_udf(T.DoubleType())
@@ -67,7 +67,8 @@ def dense_arrow(v: Column, query: list[float], metric: str) -> Column:
                 out[ok] = (1.0 if metric == "COSINE" else 0.0) - m @ q
         return pa.array(out, mask=~ok)
 
-    return distance(v)
+    # marked as not to be repeated, it is evaluated below a filter that speaks of it, and there alone
+    return (distance.asNondeterministic() if once else distance)(v)
 
 
 def sparse_dot(v: Column, indices: list[int], values: list[float]) -> Column:
@@ -109,7 +110,7 @@ def check_query(field: Field, query: object) -> list[float] | dict:
     return [float(x) for x in query]
 
 
-def distance(field: Field, query: list[float] | dict, arrow: bool | None = None) -> Column:
+def distance(field: Field, query: list[float] | dict, arrow: bool | None = None, once: bool = False) -> Column:
     """Distance of ``field`` to a checked query. Stored COSINE vectors have unit length; the query is given it."""
     v = F.col(field.name)
     if field.type in SPARSE:
@@ -119,4 +120,4 @@ def distance(field: Field, query: list[float] | dict, arrow: bool | None = None)
         query = [x / size if size else float("nan") for x in query]
     if arrow is None:
         arrow = field.dimensions >= ARROW_DIMENSIONS
-    return dense_arrow(v, query, field.metric) if arrow else dense_hof(v, query, field.metric)
+    return dense_arrow(v, query, field.metric, once) if arrow else dense_hof(v, query, field.metric)

@@ -44,27 +44,34 @@ def project(rows: DataFrame, table: Table, response: list[str] | None, with_dist
     return rows.select(*[F.col(f"`{n}`") for n in names], *([F.col(f"`{DISTANCE}`")] if with_distance else []))
 
 
-def nearest(rows: DataFrame, table: Table, field: Field, query: object, limit: int, filter: str = "", compat_distance_scope: bool = False, max_candidates: int | None = None, arrow: bool | None = None) -> DataFrame:
+def nearest(rows: DataFrame, table: Table, field: Field, query: object, limit: int | None, filter: str = "", compat_distance_scope: bool = False, max_candidates: int | None = None, arrow: bool | None = None) -> DataFrame:
     """The ``limit`` rows nearest to ``query`` that pass ``filter``, with @distance, nearest first.
 
     The filter goes below the distance, unless it speaks of it; ties follow row ids. Each task
-    keeps its own best rows, so only ``limit`` rows of a task travel.
+    keeps its own best rows, so only ``limit`` rows of a task travel. Without a limit all rows
+    that pass come back, in no order and without a shuffle.
     """
-    if limit < 0:
+    if limit is not None and limit < 0:
         raise InvalidPayload("limit must not be negative")
     node = parse(filter or "", types_of(table))
-    d = metrics.distance(field, metrics.check_query(field, query), arrow)
+    d = metrics.distance(field, metrics.check_query(field, query), arrow, once=node.has("distance"))
     if node.has("distance"):
         measured = rows.withColumn(DISTANCE, d)
         passed = measured.where(Compiler(F.col(f"`{DISTANCE}`"), compat_distance_scope).value(node))
     else:
         passed = rows.where(Compiler().value(node)).withColumn(DISTANCE, d)
-    cut = limit if max_candidates is None else min(limit, max_candidates)
+    cut = min((n for n in (limit, max_candidates) if n is not None), default=None)
+    if cut is None:
+        return passed
     return passed.orderBy(F.col(f"`{DISTANCE}`").asc(), F.col(RID).asc()).limit(cut)
 
 
-def lookup(rows: DataFrame, table: Table, keys: list | None = None, filter: str = "", skip: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows by key (in the order of the list, repeats repeated, misses left out) and filter, in order of row ids otherwise."""
+def lookup(rows: DataFrame, table: Table, keys: list | None = None, filter: str = "", skip: int = 0, limit: int | None = None, ordered: bool = False) -> DataFrame:
+    """Rows by key (in the order of the list, repeats repeated, misses left out) and filter, or by filter alone.
+
+    Those by filter alone are in order of row ids if ``ordered``, or where skip or limit need one;
+    else in any order, as sorting a whole result would shuffle it.
+    """
     passed = rows.where(Compiler().value(parse(filter or "", types_of(table))))
     if keys is not None:
         if table.key is None:
@@ -76,7 +83,7 @@ def lookup(rows: DataFrame, table: Table, keys: list | None = None, filter: str
         wanted = wanted.withColumn("__key", F.col("__key").try_cast(kind))
         # the list comes with the request: a payload, not a table
         passed = passed.join(F.broadcast(wanted), F.col(table.key.name) == F.col("__key")).orderBy("__place", RID).drop("__place", "__key")
-    else:
+    elif ordered or skip or limit is not None:
         passed = passed.orderBy(RID)
     if skip:
         passed = passed.offset(skip)

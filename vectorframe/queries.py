@@ -154,14 +154,14 @@ def knn_filtered(spark, sf_dir):
 def knn_distance_filter(spark, sf_dir):
     """All rows below a distance; it counts under logical operators, too."""
     rows, table, field = vectors(spark, sf_dir, "COSINE")
-    return measured(search.nearest(rows, table, field, QUERY, 2**30, "@distance < 1.02 AND label >= 2"))
+    return measured(search.nearest(rows, table, field, QUERY, None, "@distance < 1.02 AND label >= 2"))
 
 
 @query(f"SELECT vec_id, label, round(d, {DIGITS}) AS distance FROM ({_distances('COSINE')}) u WHERE label >= 2")
 def knn_distance_scope(spark, sf_dir):
     """Compatible scope: under a logical operator the distance reads as 0."""
     rows, table, field = vectors(spark, sf_dir, "COSINE")
-    return measured(search.nearest(rows, table, field, QUERY, 2**30, "@distance < 0.5 AND label >= 2", compat_distance_scope=True))
+    return measured(search.nearest(rows, table, field, QUERY, None, "@distance < 0.5 AND label >= 2", compat_distance_scope=True))
 
 
 @query(f"SELECT vec_id, label, round(d, {DIGITS}) AS distance FROM ({_distances('DOT_PRODUCT')}) u ORDER BY d, vec_id LIMIT 20")
@@ -235,11 +235,11 @@ _FROM = {"events": "(SELECT *, value > 50 AS flag FROM events) events"}
 
 
 def filtered(spark: SparkSession, sf_dir: str, table: str, text: str) -> DataFrame:
-    """All rows of a table that pass a filter, in scan order."""
+    """All rows of a table that pass a filter."""
     df = read(spark, sf_dir, table)
     if table == "events":
         df = df.withColumn("flag", F.col("value") > 50)
-    found = search.lookup(df.withColumn(RID, F.monotonically_increasing_id()), described(df, table), filter=text)
+    found = search.lookup(df, described(df, table), filter=text)  # no order, so no row ids: the filter reaches the scan
     return found.select(*_KEYS[table])
 
 
@@ -385,7 +385,7 @@ def facet_after_limit(spark, sf_dir):
 def facet_empty(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
     table = described(df, "lineitem")
-    none = search.lookup(df.withColumn(RID, F.monotonically_increasing_id()), table, filter="l_quantity > 1000000")
+    none = search.lookup(df, table, filter="l_quantity > 1000000")
     return facet(none, {"group": ["l_returnflag"], "aggregate": ["COUNT(1)"]}, search.types_of(table)).toDF("flag", "n")
 
 
