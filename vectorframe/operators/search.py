@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from vectorframe.errors import EngineError, InvalidPayload
 from vectorframe.functions import metrics
+from vectorframe.operators import blocks
 from vectorframe.plans.compiler import Compiler
 from vectorframe.plans.parser import parse
 from vectorframe.schema import RID, Field, Table
+from vectorframe.sources.storage import workspace
 
 DISTANCE = "@distance"
 #: Key lists up to this length become a filter the scan can test, before they are joined.
@@ -93,18 +97,60 @@ def lookup(rows: DataFrame, table: Table, keys: list | None = None, filter: str
 def knn_join(rows: DataFrame, field: Field, queries: DataFrame, query_id: str, query_vector: str, k: int) -> DataFrame:
     """Extension: the ``k`` nearest rows of each of many dense queries; (query_id, _rid, @distance, rank).
 
-    The cross product is reduced to k rows a query within every task before any shuffle
-    (a window group limit), so what travels is k rows a query and task.
+    Exact, every query against every row; ties follow row ids. Both sides are written to the shared
+    folder at once; a task takes a file of queries and reads files of rows, so neither side is
+    broadcast, and what travels is k rows a query and task. Of equal vectors the k with the smallest
+    row ids are enough for any query. Distances to or from a vector that is null, holds null or has
+    other dimensions than the field are null, and come last, as null row ids do among equal distances.
     """
-    v, q = F.col(field.name), F.col("__query")
-    dot = metrics._products(v, q)
-    d = metrics._sum(F.zip_with(v, q, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))) if field.metric == "EUCLIDEAN" else F.lit(1.0) - dot if field.metric == "COSINE" else -dot
+    spark, n, size = rows.sparkSession, max(k, 1), field.dimensions
+    v = F.col(field.name)
     vector = metrics.normalize_dense(F.col(query_vector)) if field.metric == "COSINE" else F.col(query_vector)
-    pairs = rows.select(RID, field.name).crossJoin(queries.select(F.col(query_id), vector.alias("__query"))).select(query_id, RID, d.alias(DISTANCE))
-    order = Window.partitionBy(query_id).orderBy(F.col(f"`{DISTANCE}`"), RID)
+    asked = queries.select(F.col(query_id), vector.alias("__vector")).withColumn("__whole", _whole("__vector", size))
+    stored = rows.select(F.col(RID).cast("long").alias(RID), v.alias("__vector")).withColumn("__whole", _whole("__vector", size))
+    folder = workspace(spark, "knn")
+
+    copies = Window.partitionBy("__vector").orderBy(F.col(RID).asc_nulls_last())
+    once = stored.where("__whole").withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= n)
+    row_files = _settle(once.where(F.col(RID).isNotNull()).select(RID, "__vector"), f"{folder}/rows")
+    unmeasurable, unnamed = stored.agg(F.count_if(~F.col("__whole")), F.count_if(F.col(RID).isNull())).first()
+    count, whole = asked.agg(F.count("*"), F.count_if("__whole")).first()
+    parallel = spark.sparkContext.defaultParallelism
+    parts = max(-(-whole // blocks.QUERIES), min(2 * parallel, -(-whole // blocks.PIECE)))
+    query_files = _settle(asked.where("__whole").select(query_id, "__vector").repartition(parts), f"{folder}/queries") if whole else []
+    shards = min(len(row_files), -(-4 * parallel // max(1, len(query_files))))
+    tasks = [(q, row_files[i::shards]) for q in query_files for i in range(shards)]
+    if unnamed:
+        unnamed_files = _settle(once.where(F.col(RID).isNull()).select(RID, "__vector"), f"{folder}/unnamed")
+        tasks += [(q, unnamed_files) for q in query_files]
+
+    schema = T.StructType([asked.schema[query_id], T.StructField(RID, T.LongType()), T.StructField(DISTANCE, T.DoubleType())])
+    pairs = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(blocks.search(tasks, size, n, field.metric, to_arrow_type(schema[0].dataType)), schema)
+    nothing = F.lit(None).cast("double").alias(DISTANCE)
+
+    def unmeasured(some: DataFrame, others: DataFrame) -> DataFrame:
+        return some.select(query_id).crossJoin(F.broadcast(others.select(RID).orderBy(F.col(RID).asc_nulls_last()).limit(n))).select(query_id, RID, nothing)
+
+    if unmeasurable:
+        pairs = pairs.unionByName(unmeasured(asked.where("__whole"), stored.where(~F.col("__whole"))))
+    if whole < count:
+        pairs = pairs.unionByName(unmeasured(asked.where(~F.col("__whole")), stored))
+    order = Window.partitionBy(query_id).orderBy(F.col(f"`{DISTANCE}`").asc_nulls_last(), F.col(RID).asc_nulls_last())
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _whole(name: str, dimensions: int) -> Column:
+    """Whether a vector can be measured."""
+    v = F.col(name)
+    return v.isNotNull() & (F.size(v) == dimensions) & ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(True))
+
+
+def _settle(df: DataFrame, uri: str) -> list[str]:
+    """Write a table to be read block by block; its files."""
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri).inputFiles()
+
+
 def fuse(*results: DataFrame, limit: int, constant: int = 60) -> DataFrame:
     """Extension: reciprocal rank fusion of ranked results (each with _rid and @distance); (_rid, score)."""
     parts = [r.select(RID, (1.0 / (F.row_number().over(Window.orderBy(F.col(f"`{DISTANCE}`"), RID)) + constant)).alias("score")) for r in results]
